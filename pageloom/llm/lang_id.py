@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bpe import byte_batches
 from .common import table
@@ -248,7 +249,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
                 langs, score = label_batch(shared.value, b.column("text"))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
