@@ -10,12 +10,15 @@ a document of n shingles costs about n + 590 arrivals. Documents with a register
 still free get twice the time.
 
 Equal word sequences are one class before anything is compared. Registers are
-banded (16 bands of 4: at a similarity of 0.8 a pair meets in some band with
-probability 0.9998). Within a bucket, members are compared with a centre, not with
-each other. Members unlike their centre go on among themselves and with the rest
-of the bucket, first in parts that share another band too, each round with up to
-eight more centres per bucket, until no member is left; so no pair of a bucket is
-given up and no bucket meets in one task. Pairs are verified on their exact
+banded (24 bands of 6: at a similarity of 0.8 a pair meets in some band with
+probability 0.9993). Within a bucket, members are compared with one centre,
+not with each other, and the links so far give components. Where a bucket still holds
+several components, a delegate of each, drawn anew every round, is compared with up to
+``CENTRES`` members drawn likewise, until a round links nothing. All rounds are linear in the
+buckets' sizes, also where thousands share a passage, so no bucket meets in one task.
+A pair is missed only if in none of its buckets (six on average at 0.8) a centre or
+delegate connects it; pairs that are alike share buckets that passages do not crowd.
+Pairs are verified on their exact
 shingle sets: Jaccard similarity ``THRESHOLD`` or more. Classes are the connected
 components.
 """
@@ -37,9 +40,9 @@ from .components import components
 
 SIZE = 5
 THRESHOLD = 0.8
-REGISTERS = 64
-BAND = 4
-CENTRES = 8
+REGISTERS = 144
+BAND = 6
+CENTRES = 16
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,10 +144,11 @@ def signatures(h: np.ndarray, at: np.ndarray, weight: np.ndarray, n_texts: int,
 
 
 def sketch(documents: DataFrame) -> DataFrame:
-    """(doc_id, f1, f2, bands): fingerprint of the word sequence and band hashes, for rows
+    """(doc_id, f1, f2, size, bands): fingerprint of the word sequence, number of distinct
+    shingles and band hashes, for rows
     whose doc_id and text are not null. Without words, the text itself is the
     fingerprint and there are no bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for big in batches:
@@ -153,7 +157,9 @@ def sketch(documents: DataFrame) -> DataFrame:
                 words, offsets = split_words(texts)
                 w = word_hashes(words)
                 prints = fingerprints(w, offsets, texts)
-                sig = signatures(*weighted(*shingles(w, offsets)), len(texts)).reshape(len(texts), -1, BAND)
+                h, at, weight = weighted(*shingles(w, offsets))
+                size = np.bincount(at, minlength=len(texts)).astype(np.int64)
+                sig = signatures(h, at, weight, len(texts)).reshape(len(texts), -1, BAND)
                 band = np.zeros(sig.shape[:2], np.uint64)
                 with np.errstate(over="ignore"):
                     for k in range(BAND):
@@ -162,10 +168,10 @@ def sketch(documents: DataFrame) -> DataFrame:
                 has = np.diff(offsets) > 0
                 ends = np.concatenate([[0], np.cumsum(np.where(has, band.shape[1], 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(band[has].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints[:, 0]), pa.array(prints[:, 1]), bands], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(size), bands], schema=schema)
 
     docs = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    return docs.mapInArrow(run, "doc_id long, f1 long, f2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, f1 long, f2 long, size long, bands array<long>")
 
 
 def verify(pairs: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
@@ -203,49 +209,46 @@ def _crowded(buckets: DataFrame) -> DataFrame:
     return buckets.join(many, "k")
 
 
-def _star(buckets: DataFrame, centres: int, salt: int) -> DataFrame:
-    """(k, a, b): every member b of a bucket with each of up to ``centres`` centres a."""
-    order = F.struct(F.xxhash64("node", "k", F.lit(salt)).alias("h"), F.col("node").alias("a"))
-    part = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(centres)).alias("part")
-    centre = buckets.where("open").groupBy("k", part).agg(F.min(order).alias("c")).select("k", F.col("c.a").alias("a"))
-    return buckets.select("k", F.col("node").alias("b")).join(centre, "k").where("a <> b")
+def _centres(buckets: DataFrame, n: int, salt: int) -> DataFrame:
+    """(k, a, a_comp, a_size): up to ``n`` members of each bucket, by a seeded hash."""
+    order = F.struct(F.xxhash64("node", "k", F.lit(salt)).alias("h"), F.col("node").alias("a"), F.col("comp").alias("a_comp"), F.col("size").alias("a_size"))
+    part = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(n)).alias("part")
+    return buckets.groupBy("k", part).agg(F.min(order).alias("c")).select("k", "c.a", "c.a_comp", "c.a_size")
 
 
 def near_links(sketches: DataFrame, documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (a, b) between different texts, by their least doc_ids."""
+    """Verified links (a, b) between different texts, by their least doc_ids: enough to
+    connect the texts that are alike."""
     first = sketches.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"))
-    reps = sketches.join(first, ["f1", "f2", "doc_id"]).select(F.col("doc_id").alias("node"), "bands")
-    reps = materialise(reps, "reps")
-    bands = reps.select("node", F.explode("bands").alias("k")).distinct().withColumn("open", F.lit(True))
-    buckets, links, done, salt = materialise(_crowded(bands), "buckets"), [], None, 0
+    reps = sketches.join(first, ["f1", "f2", "doc_id"]).select(F.col("doc_id").alias("node"), "size", "bands")
+    bands = reps.select("node", "size", F.explode("bands").alias("k")).distinct()
+    buckets = materialise(_crowded(bands), "buckets")
+    members, links, done, known, salt = buckets.withColumn("comp", F.col("node")), [], None, None, 0
     while True:
-        star = materialise(_star(buckets, 1 if salt == 0 else CENTRES, salt), "star")
-        pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        centres = _centres(members, CENTRES if salt else 1, salt)
+        if salt:
+            order = F.struct(F.xxhash64("node", "k", F.lit(-salt)).alias("h"), "node", "size")
+            members = materialise(members.groupBy("k", "comp").agg(F.min(order).alias("m")).select("k", "comp", "m.node", "m.size"), "delegates")
+        # Sets of sizes this far apart cannot reach the threshold.
+        fits = F.least("size", "a_size") >= F.greatest("size", "a_size") * F.lit(threshold) - 1e-9
+        star = members.join(centres, "k").where(F.expr("node <> a and comp <> a_comp") & fits)
+        pairs = star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        links.append(materialise(verify(pairs, documents, threshold), "links"))
+        pairs = materialise(pairs, "pairs")
+        new = materialise(verify(pairs, documents, threshold), "links")
+        links.append(new)
+        if salt and new.isEmpty():
+            return known
+        done = pairs if done is None else done.unionByName(pairs)
         known = links[0]
         for x in links[1:]:
-            known = known.union(x)
-        tried = materialise(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if done is None else star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(done).distinct(), "tried")
-        # A member stays open while no centre of its bucket is like it; centres are done.
-        hit = known.distinct().withColumn("hit", F.lit(True))
-        met = star.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(hit.select(F.col("a").alias("x"), F.col("b").alias("y"), "hit"), ["x", "y"], "left")
-        state = met.groupBy("k", "b").agg(F.max(F.coalesce("hit", F.lit(False))).alias("like")).withColumnRenamed("b", "node")
-        centres = star.select("k", F.col("a").alias("node")).distinct().withColumn("was", F.lit(True))
-        now = buckets.join(state, ["k", "node"], "left").join(centres, ["k", "node"], "left")
-        now = now.withColumn("open", F.col("open") & F.col("was").isNull() & ~F.coalesce("like", F.lit(False))).where("was is null").select("k", "node", "open")
-        left = now.groupBy("k").agg(F.max("open").alias("o"), F.count(F.lit(1)).alias("n")).where("o and n > 1").select("k")
-        buckets = now.join(left, "k")
-        if salt == 0:
-            # Like members of an unsettled bucket share other bands too.
-            other = reps.select("node", F.explode("bands").alias("k2"))
-            buckets = _crowded(buckets.join(other, "node").where("k <> k2").select(F.xxhash64("k", "k2").alias("k"), "node", "open"))
-            left = buckets.groupBy("k").agg(F.max("open").alias("o")).where("o").select("k")
-            buckets = buckets.join(left, "k")
-        buckets, done, salt = materialise(buckets, "buckets"), tried, salt + 1
-        if buckets.isEmpty():
-            return known
+            known = known.unionByName(x)
+        labels = components(known)
+        now = buckets.join(labels, "node", "left").select("k", "node", "size", F.coalesce("label", "node").alias("comp"))
+        now = materialise(now, "members")
+        mixed = now.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
+        members, salt = materialise(now.join(mixed, "k"), "mixed"), salt + 1
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
