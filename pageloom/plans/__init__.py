@@ -1,0 +1 @@
+"""Named plans over the driver tables."""

@@ -2,9 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pageloom.plans.queries import ORACLE_SQL, QUERIES, link_audit
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy().count()
+    return link_audit(spark, sf_dir)

@@ -1,0 +1,5 @@
+"""Readers for pages, rule tables and check reports."""
+from .html_nodes import parse_html
+from .reports import read_check_report, read_queue_csv, read_rules_jsonl
+
+__all__ = ["parse_html", "read_check_report", "read_queue_csv", "read_rules_jsonl"]
