@@ -72,7 +72,7 @@ def language_script(c: Column) -> Column:
     return (
         F.when(c.rlike(r"\p{IsHangul}{2,}"), "ko").when(c.rlike(r"\p{IsThai}{2,}"), "th").when(c.rlike(r"\p{IsCyrillic}{3,}"), "ru")
         .when(c.rlike(r"\p{IsHan}{2,}") & c.rlike(CHINESE), "zh").when(c.rlike(r"[Ạ-ỹ]"), "vi")
-        .when(c.rlike(r"[A-Za-zÀ-ſḀ-ỿ]{3,}(?:[ ,.'\"-]+[A-Za-zÀ-ſḀ-ỿ]{2,}){2,}"), "latin").otherwise("")
+        .when(c.rlike(r"[A-Za-zÀ-ſḀ-ỿ]{3,}(?:[ ,.'\"-]+[A-Za-zÀ-ſḀ-ỿ]{2,}){2}"), "latin").otherwise("")
     )
 
 

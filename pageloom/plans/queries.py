@@ -6,6 +6,7 @@ Python); the checks and the extraction run over the parsed node table.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,17 +105,22 @@ def topk_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_diff(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("type", "rank", "jis", "method", "before_count", "after_count")
 
 
+def _nodes(pages: DataFrame) -> DataFrame:
+    """Parsed once for all branches that read them; lost blocks are parsed again."""
+    return parse_html(pages).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def check_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.run_checks(parse_html(_pages(spark, sf_dir)))
+    return checks.run_checks(_nodes(_pages(spark, sf_dir)))
 
 
 def check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = ["C_15.0", "C_57.0", "C_14.0", "C_34.0", "C_51.1"]
-    return checks.check_summary(checks.run_checks(parse_html(read(spark, sf_dir, "pages")), ids))
+    return checks.check_summary(checks.run_checks(_nodes(read(spark, sf_dir, "pages")), ids))
 
 
 def content_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.content_candidates(parse_html(read(spark, sf_dir, "pages")))
+    return extract.content_candidates(_nodes(read(spark, sf_dir, "pages")))
 
 
 def gold_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
