@@ -36,6 +36,8 @@ TRAIN_WORDS = 300
 BITS = 18
 CHUNK = 64
 ROUNDS = 30
+#: Bytes of text labelled at once; the work arrays take about fifty times as much.
+LABEL_BYTES = 3 << 20
 #: Mean number of words before a made sequence changes its language.
 STRETCH = 40
 UNKNOWN = "und"
@@ -81,7 +83,7 @@ class Model:
         self.weights = np.zeros((1 << BITS, len(labels)), np.float32)
         self.moves = np.zeros((len(labels), len(labels)))
 
-    def emissions(self, words: list[str], block: int = 50_000) -> np.ndarray:
+    def emissions(self, words: list[str], block: int = 20_000) -> np.ndarray:
         out = [np.empty((0, len(self.labels)))]
         for i in range(0, len(words), block):
             f, start = word_features(words[i : i + block])
@@ -245,7 +247,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         for big in batches:
-            for b in byte_batches(big, "text"):
+            for b in byte_batches(big, "text", LABEL_BYTES):
                 langs, score = label_batch(shared.value, b.column("text"))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
 
