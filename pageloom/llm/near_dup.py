@@ -43,6 +43,8 @@ THRESHOLD = 0.8
 REGISTERS = 144
 BAND = 6
 CENTRES = 16
+#: Bytes of text sketched at once; the work arrays take about thirty times as much.
+SKETCH_BYTES = 4 << 20
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,7 +154,7 @@ def sketch(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         for big in batches:
-            for b in byte_batches(big, "text"):
+            for b in byte_batches(big, "text", SKETCH_BYTES):
                 texts = b.column("text")
                 words, offsets = split_words(texts)
                 w = word_hashes(words)
