@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions import metrics, text
-from pageloom.operators import checks, compare, extract
+from pageloom.operators import batch, checks, compare, extract, rewrite
 from pageloom.sources import parse_html
 
 from .fixtures import HTML, TEXTS, html_values, text_values
@@ -130,6 +130,30 @@ def gold_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.summarise(metrics.grade(p.select(F.col("page_id").alias("id"), F.col("html").alias("old_html"), strip.alias("current_html"), strip.alias("gold_html"))))
 
 
+def rewrite_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.rewrite(_pages(spark, sf_dir), ["scripts", "tidy"]).select("page_id", "final_html")
+
+
+def rewrite_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.rewrite(_pages(spark, sf_dir)).select("page_id", "final_html")
+
+
+def queue_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as one source of the queue and their URLs without the last part as another."""
+    p = read(spark, sf_dir, "pages").select("page_id", "url")
+    return batch.build_queue(p, p.withColumn("url", F.regexp_replace("url", "/[^/]*$", "/")))
+
+
+def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue after reading: pages whose html has a paragraph are done; headings stand for accepted rows."""
+    html = read(spark, sf_dir, "pages").select("page_id", F.when(F.col("html").contains("<p>"), "done").otherwise("extract-failed").alias("state"), F.regexp_count("html", F.lit("<h[1-6]>")).alias("auto_accepted"), F.regexp_count("html", F.lit("<a ")).alias("remaining"))
+    return batch.batch_summary(queue_build(spark, sf_dir).drop("status").join(html.withColumnRenamed("state", "status"), "page_id"))
+
+
+def queue_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.pages_by(read(spark, sf_dir, "pages").select("url"), F.regexp_extract("url", "://[^/]+/([^/]+)/", 1))
+
+
 _A = rf"""a AS (SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host, unnest(range(0, len(regexp_extract_all(html, '{ANCHOR}')))) AS pos, html FROM pages),
 l AS (SELECT page_id, host, pos, regexp_extract_all(html, '{ANCHOR}', 1)[pos + 1] AS href, regexp_extract_all(html, '{ANCHOR}', 2)[pos + 1] AS label FROM a)"""
 _P = f"p AS (SELECT page_id, html FROM pages UNION ALL SELECT * FROM (VALUES {html_values()}))"
@@ -178,12 +202,17 @@ _UNITS = "text"
 for _u in sorted(text.UNITS, key=len, reverse=True):
     _UNITS = _replace(_UNITS, (rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*{_u}($|[^A-Za-z])", rf"\1{text.UNITS[_u]}\2"))
 _TOK = r"list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+|[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}]{{1,3}}'))"
+_Q = """u AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, regexp_replace(url, '/[^/]*$', '/') FROM pages),
+c AS (SELECT url FROM u WHERE url <> '' GROUP BY url HAVING count(*) > 1),
+q AS (SELECT page_id, u.url, 'pending' AS status, c.url IS NOT NULL AS duplicate_url FROM u LEFT JOIN c ON u.url = c.url)"""
+_WS = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 
 QUERIES = {
     "link_audit": link_audit, "link_inventory": link_inventory, "repeated_hrefs": repeated_hrefs, "page_metrics": page_metrics, "page_metrics_by_host": page_metrics_by_host, "visible_text": visible_text, "page_title": page_title,
     "text_half_width": _rule("half_width"), "text_currency": _rule("currency"), "text_tel_fax": _rule("tel_fax"), "text_time": _rule("time_notation"), "text_units": _rule("units"), "text_weekday": _rule("weekday"),
     "language_scripts": language_scripts, "doc_similarity": doc_similarity, "report_diff": report_diff, "status_pivot": status_pivot, "topk_signatures": topk_signatures, "check_problems": check_problems, "check_counts": check_counts,
     "content_extract": content_extract, "gold_grade": gold_grade,
+    "rewrite_strip": rewrite_strip, "rewrite_pages": rewrite_pages, "queue_build": queue_build, "batch_totals": batch_totals, "queue_by_category": queue_by_category,
 }
 
 ORACLE_SQL = {
@@ -202,6 +231,10 @@ ORACLE_SQL = {
     "text_weekday": _fixed(_replace("text", (rf"[（(]{_S}([日月火水木金土])曜?{_S}[)）]", r"（\1曜日）"))),
     "language_scripts": rf"WITH {_T} SELECT CASE WHEN regexp_matches(text, '\p{{Hangul}}{{2,}}') THEN 'ko' WHEN regexp_matches(text, '\p{{Thai}}{{2,}}') THEN 'th' WHEN regexp_matches(text, '\p{{Cyrillic}}{{3,}}') THEN 'ru' WHEN regexp_matches(text, '\p{{Han}}{{2,}}') AND regexp_matches(text, '{text.CHINESE}') THEN 'zh' WHEN regexp_matches(text, '[\x{{1EA0}}-\x{{1EF9}}]') THEN 'vi' WHEN regexp_matches(text, '[A-Za-z\x{{C0}}-\x{{17F}}\x{{1E00}}-\x{{1EFF}}]{{3,}}(?:[ ,.''\"-]+[A-Za-z\x{{C0}}-\x{{17F}}\x{{1E00}}-\x{{1EFF}}]{{2,}}){{2,}}') THEN 'latin' ELSE '' END AS script, count(*) AS n FROM t GROUP BY ALL",
     "doc_similarity": f"WITH s AS (SELECT doc_id, {_TOK.format('d.text')} AS a, {_TOK.format('b.text')} AS b FROM documents d JOIN benchmark b ON d.doc_id = b.item_id) SELECT doc_id, len(a) AS n_a, len(b) AS n_b, CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) END AS dice FROM s",
+    "rewrite_strip": f"WITH {_P} SELECT page_id, {_replace('html', ('(?is)<script.*?</script>', ''), ('(?is)<style.*?</style>', ''), (_WS, ' '), ('> +<', '><'), (' +>', '>'), ('^ | $', ''))} AS final_html FROM p",
+    "queue_build": f"WITH {_Q} SELECT * FROM q",
+    "batch_totals": f"WITH {_Q}, h AS (SELECT page_id, contains(html, '<p>') AS ok, len(regexp_extract_all(html, '<h[1-6]>')) AS a, len(regexp_extract_all(html, '<a ')) AS r FROM pages) SELECT count(*) AS pages, count(*) FILTER (ok) AS done, count(*) FILTER (NOT coalesce(ok, false)) AS failed, count(*) FILTER (duplicate_url) AS duplicates, CAST(coalesce(sum(a), 0) AS BIGINT) AS auto_accepted, CAST(coalesce(sum(r), 0) AS BIGINT) AS remaining FROM q JOIN h USING (page_id)",
+    "queue_by_category": "WITH g AS (SELECT coalesce(nullif(regexp_extract(url, '://[^/]+/([^/]+)/', 1), ''), '(未分類)') AS \"group\" FROM pages) SELECT \"group\", count(*) AS pages, \"group\" = '(未分類)' AS unsorted FROM g GROUP BY ALL",
     "report_diff": f"WITH {_E} SELECT * FROM d",
     "status_pivot": f"WITH {_E} SELECT type, count(*) FILTER (status = 'new') AS \"new\", count(*) FILTER (status = 'unresolved') AS unresolved, count(*) FILTER (status = 'resolved') AS resolved FROM d GROUP BY type",
     "topk_signatures": f"WITH {_E}, r AS (SELECT type, CAST(row_number() OVER (PARTITION BY type ORDER BY after_count DESC, before_count DESC, jis, method) AS INT) AS rank, jis, method, before_count, after_count FROM d) SELECT * FROM r WHERE rank <= 10",
