@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions import metrics, text
-from pageloom.operators import batch, checks, compare, extract, rewrite
+from pageloom.operators import batch, checks, compare, extract, gold_hints, rewrite
 from pageloom.sources import parse_html
 
 from .fixtures import HTML, TEXTS, html_values, text_values
@@ -138,6 +138,12 @@ def rewrite_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.rewrite(_pages(spark, sf_dir)).select("page_id", "final_html")
 
 
+def hint_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their rewritten selves as gold."""
+    p = rewrite.rewrite(_pages(spark, sf_dir))
+    return gold_hints.learn_hints(p.select(F.col("page_id").alias("file"), F.col("html").alias("old_html"), F.col("final_html").alias("gold_html")))
+
+
 def queue_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as one source of the queue and their URLs without the last part as another."""
     p = read(spark, sf_dir, "pages").select("page_id", "url")
@@ -212,7 +218,7 @@ QUERIES = {
     "text_half_width": _rule("half_width"), "text_currency": _rule("currency"), "text_tel_fax": _rule("tel_fax"), "text_time": _rule("time_notation"), "text_units": _rule("units"), "text_weekday": _rule("weekday"),
     "language_scripts": language_scripts, "doc_similarity": doc_similarity, "report_diff": report_diff, "status_pivot": status_pivot, "topk_signatures": topk_signatures, "check_problems": check_problems, "check_counts": check_counts,
     "content_extract": content_extract, "gold_grade": gold_grade,
-    "rewrite_strip": rewrite_strip, "rewrite_pages": rewrite_pages, "queue_build": queue_build, "batch_totals": batch_totals, "queue_by_category": queue_by_category,
+    "rewrite_strip": rewrite_strip, "rewrite_pages": rewrite_pages, "hint_mining": hint_mining, "queue_build": queue_build, "batch_totals": batch_totals, "queue_by_category": queue_by_category,
 }
 
 ORACLE_SQL = {
