@@ -31,11 +31,13 @@ def currency(c: Column) -> Column:
 
 
 def tel_fax(c: Column) -> Column:
-    return _chain(c, [(rf"(?i)(?:TEL|ＴＥＬ){SPACE}*[：:]", "電話番号："), (r"(?i)(?:TEL|ＴＥＬ)", "電話番号"), (rf"(?i)(?:FAX|ＦＡＸ){SPACE}*[：:]", "ファックス番号："), (r"(?i)(?:FAX|ＦＡＸ)", "ファックス番号")])
+    return _chain(c, [(rf"(?i)(?:TEL|ＴＥＬ){SPACE}*[：:]", "電話番号："), (rf"(?i)(?:TEL|ＴＥＬ){SPACE}*", "電話番号"), (rf"(?i)(?:FAX|ＦＡＸ){SPACE}*[：:]", "ファックス番号："), (rf"(?i)(?:FAX|ＦＡＸ){SPACE}*", "ファックス番号")])
 
 
 def time_notation(c: Column) -> Column:
-    return _chain(c, [(r"\b0?([0-9]|1[0-9]|2[0-3]):00\b", "$1時"), (r"\b0?([0-9]|1[0-9]|2[0-3]):0([1-9])\b", "$1時$2分"), (r"\b0?([0-9]|1[0-9]|2[0-3]):([1-5][0-9])\b", "$1時$2分")])
+    # Word bounds are those of ASCII: kana may follow a time at once.
+    left, right = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+    return _chain(c, [(f"{left}0?([0-9]|1[0-9]|2[0-3]):00{right}", "$1時"), (f"{left}0?([0-9]|1[0-9]|2[0-3]):0([1-9]){right}", "$1時$2分"), (f"{left}0?([0-9]|1[0-9]|2[0-3]):([1-5][0-9]){right}", "$1時$2分")])
 
 
 def units(c: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions import metrics, text
-from pageloom.operators import batch, checks, compare, extract, gold_hints, rewrite
+from pageloom.operators import batch, candidates, checks, compare, decisions, extract, gold_hints, rewrite
 from pageloom.sources import parse_html
 
 from .fixtures import HTML, TEXTS, html_values, text_values
@@ -160,6 +160,40 @@ def queue_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.pages_by(read(spark, sf_dir, "pages").select("url"), F.regexp_extract("url", "://[^/]+/([^/]+)/", 1))
 
 
+def _found(spark, sf_dir):
+    nodes = _nodes(_pages(spark, sf_dir))
+    return nodes, candidates.find_candidates(nodes, read(spark, sf_dir, "pages"))
+
+
+def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir)[1]
+
+
+def candidate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.rule_summary(decisions.auto_accept(_found(spark, sf_dir)[1]))
+
+
+def candidate_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.completion(decisions.auto_accept(_found(spark, sf_dir)[1]))
+
+
+def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.evidence(decisions.auto_accept(_found(spark, sf_dir)[1]), read(spark, sf_dir, "pages"))
+
+
+def final_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, found = _found(spark, sf_dir)
+    return decisions.apply_patches(nodes, decisions.auto_accept(found))
+
+
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each page by the kind of their target."""
+    p = read(spark, sf_dir, "pages")
+    links = candidates.classify_links(parse_html(p.select("page_id", "html")), p)
+    kinds = ["is_broken", "is_in_page", "is_external", "is_pdf"]
+    return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), *[F.count_if(k).alias(k) for k in kinds])
+
+
 _A = rf"""a AS (SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host, unnest(range(0, len(regexp_extract_all(html, '{ANCHOR}')))) AS pos, html FROM pages),
 l AS (SELECT page_id, host, pos, regexp_extract_all(html, '{ANCHOR}', 1)[pos + 1] AS href, regexp_extract_all(html, '{ANCHOR}', 2)[pos + 1] AS label FROM a)"""
 _P = f"p AS (SELECT page_id, html FROM pages UNION ALL SELECT * FROM (VALUES {html_values()}))"
@@ -218,6 +252,7 @@ QUERIES = {
     "text_half_width": _rule("half_width"), "text_currency": _rule("currency"), "text_tel_fax": _rule("tel_fax"), "text_time": _rule("time_notation"), "text_units": _rule("units"), "text_weekday": _rule("weekday"),
     "language_scripts": language_scripts, "doc_similarity": doc_similarity, "report_diff": report_diff, "status_pivot": status_pivot, "topk_signatures": topk_signatures, "check_problems": check_problems, "check_counts": check_counts,
     "content_extract": content_extract, "gold_grade": gold_grade,
+    "candidate_rows": candidate_rows, "candidate_rules": candidate_rules, "candidate_completion": candidate_completion, "evidence_rows": evidence_rows, "final_html": final_html, "link_targets": link_targets,
     "rewrite_strip": rewrite_strip, "rewrite_pages": rewrite_pages, "hint_mining": hint_mining, "queue_build": queue_build, "batch_totals": batch_totals, "queue_by_category": queue_by_category,
 }
 
@@ -231,7 +266,7 @@ ORACLE_SQL = {
     "page_title": "SELECT page_id, regexp_extract(html, '(?i)<title>([^<]*)</title>', 1) AS title FROM pages",
     "text_half_width": _fixed(f"translate(text, '{text.FULL}', '{text.HALF}')"),
     "text_currency": _fixed(_replace("text", (rf"[¥￥]{_S}([0-9,]+)", r"\1円"), (rf"\${_S}([0-9,]+)", r"\1ドル"))),
-    "text_tel_fax": _fixed(_replace("text", (rf"(?i)(?:TEL|ＴＥＬ){_S}[：:]", "電話番号："), ("(?i)(?:TEL|ＴＥＬ)", "電話番号"), (rf"(?i)(?:FAX|ＦＡＸ){_S}[：:]", "ファックス番号："), ("(?i)(?:FAX|ＦＡＸ)", "ファックス番号"))),
+    "text_tel_fax": _fixed(_replace("text", (rf"(?i)(?:TEL|ＴＥＬ){_S}[：:]", "電話番号："), (rf"(?i)(?:TEL|ＴＥＬ){_S}", "電話番号"), (rf"(?i)(?:FAX|ＦＡＸ){_S}[：:]", "ファックス番号："), (rf"(?i)(?:FAX|ＦＡＸ){_S}", "ファックス番号"))),
     "text_time": _fixed(_TIME),
     "text_units": _fixed(_UNITS),
     "text_weekday": _fixed(_replace("text", (rf"[（(]{_S}([日月火水木金土])曜?{_S}[)）]", r"（\1曜日）"))),
@@ -241,6 +276,7 @@ ORACLE_SQL = {
     "queue_build": f"WITH {_Q} SELECT * FROM q",
     "batch_totals": f"WITH {_Q}, h AS (SELECT page_id, contains(html, '<p>') AS ok, len(regexp_extract_all(html, '<h[1-6]>')) AS a, len(regexp_extract_all(html, '<a ')) AS r FROM pages) SELECT count(*) AS pages, count(*) FILTER (ok) AS done, count(*) FILTER (NOT coalesce(ok, false)) AS failed, count(*) FILTER (duplicate_url) AS duplicates, CAST(coalesce(sum(a), 0) AS BIGINT) AS auto_accepted, CAST(coalesce(sum(r), 0) AS BIGINT) AS remaining FROM q JOIN h USING (page_id)",
     "queue_by_category": "WITH g AS (SELECT coalesce(nullif(regexp_extract(url, '://[^/]+/([^/]+)/', 1), ''), '(未分類)') AS \"group\" FROM pages) SELECT \"group\", count(*) AS pages, \"group\" = '(未分類)' AS unsorted FROM g GROUP BY ALL",
+    "link_targets": "WITH l AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host, trim(unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS href FROM pages), k AS (SELECT *, regexp_matches(href, '^#[^#\\s]+') AS inside, regexp_matches(href, '(?i)^(https?:)?//') AS full_url FROM l) SELECT page_id, count(*) AS links, count(*) FILTER (href IN ('', '#')) AS is_broken, count(*) FILTER (inside) AS is_in_page, count(*) FILTER (full_url AND lower(regexp_extract(href, '//([^/?#:]*)', 1)) <> host) AS is_external, count(*) FILTER (regexp_matches(href, '(?i)\\.pdf($|[?#])')) AS is_pdf FROM k GROUP BY page_id",
     "report_diff": f"WITH {_E} SELECT * FROM d",
     "status_pivot": f"WITH {_E} SELECT type, count(*) FILTER (status = 'new') AS \"new\", count(*) FILTER (status = 'unresolved') AS unresolved, count(*) FILTER (status = 'resolved') AS resolved FROM d GROUP BY type",
     "topk_signatures": f"WITH {_E}, r AS (SELECT type, CAST(row_number() OVER (PARTITION BY type ORDER BY after_count DESC, before_count DESC, jis, method) AS INT) AS rank, jis, method, before_count, after_count FROM d) SELECT * FROM r WHERE rank <= 10",

@@ -20,13 +20,15 @@ CLOSES = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
 P_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+NEAREST = {"cell_pre": ("td", "th"), "link_pre": ("a",), "item_pre": ("li",)}
 SCHEMA = (
     "page_id long, is_html5 boolean, pre int, post int, parent int, depth int, sibling int, node_type int, tag string, attrs map<string,string>, "
-    "text string, path string, in_body boolean, table_pre int, list_pre int, parent_tag string, prev_tag string"
+    "text string, path string, in_body boolean, table_pre int, list_pre int, parent_tag string, prev_tag string, last int, kids int, elements int, content string, cell_pre int, link_pre int, item_pre int"
 )
 ARROW = pa.schema([
     ("page_id", pa.int64()), ("is_html5", pa.bool_()), ("pre", pa.int32()), ("post", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("sibling", pa.int32()), ("node_type", pa.int32()),
     ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("path", pa.string()), ("in_body", pa.bool_()), ("table_pre", pa.int32()), ("list_pre", pa.int32()), ("parent_tag", pa.string()), ("prev_tag", pa.string()),
+    ("last", pa.int32()), ("kids", pa.int32()), ("elements", pa.int32()), ("content", pa.string()), ("cell_pre", pa.int32()), ("link_pre", pa.int32()), ("item_pre", pa.int32()),
 ])
 
 
@@ -42,12 +44,14 @@ class _Tree(HTMLParser):
         up = self.open[-1] if self.open else None
         row = {
             "page_id": self.page_id, "pre": len(self.rows), "post": 0, "parent": up["pre"] if up else None, "depth": len(self.open), "sibling": up["kids"] if up else 0, "node_type": kind, "tag": tag, "attrs": attrs, "text": text,
-            "path": f"{up['path'] if up else ''}/{tag or 'text()'}", "in_body": bool(up and (up["tag"] == "body" or up["in_body"])), "parent_tag": up["tag"] if up else None, "prev_tag": up["last"] if up else None,
-            "table_pre": (up["pre"] if up["tag"] == "table" else up["table_pre"]) if up else None, "list_pre": (up["pre"] if up["tag"] in ("ul", "ol") else up["list_pre"]) if up else None, "kids": 0, "last": None, "parts": [],
+            "path": f"{up['path'] if up else ''}/{tag or 'text()'}", "in_body": bool(up and (up["tag"] == "body" or up["in_body"])), "parent_tag": up["tag"] if up else None, "prev_tag": up["before"] if up else None,
+            "table_pre": (up["pre"] if up["tag"] == "table" else up["table_pre"]) if up else None, "list_pre": (up["pre"] if up["tag"] in ("ul", "ol") else up["list_pre"]) if up else None, "kids": 0, "elements": 0, "last": len(self.rows), "before": None, "parts": [], "raw": [], "content": None,
+            **{k: (up["pre"] if up["tag"] in tags and (k != "link_pre" or up["href"]) else up[k]) if up else None for k, tags in NEAREST.items()}, "href": any(k == "href" for k, _ in attrs),
         }
         if up:
             up["kids"] += 1
-            up["last"] = tag or "text()"
+            up["before"] = tag or "text()"
+            up["elements"] += kind == 1
         self.rows.append(row)
         return row
 
@@ -55,7 +59,12 @@ class _Tree(HTMLParser):
         while len(self.open) > n:
             row = self.open.pop()
             row["text"] = " ".join("".join(row["parts"]).split())
-            row["post"], self.posts = self.posts, self.posts + 1
+            raw = "".join(row["raw"])
+            whole = " ".join(raw.split())
+            row["content"] = None if whole == row["text"] else whole
+            row["post"], self.posts, row["last"] = self.posts, self.posts + 1, len(self.rows) - 1
+            if self.open and row["tag"] not in ("script", "style", "noscript"):
+                self.open[-1]["raw"].append(raw)
             if self.open and row["tag"] not in ("script", "style", "noscript"):
                 self.open[-1]["parts"].append(("" if row["tag"] in ("a", "b", "i", "span", "em", "strong", "font", "u") else " ") + "".join(row["parts"]) + " ")
 
@@ -89,6 +98,7 @@ class _Tree(HTMLParser):
         row["post"], self.posts = self.posts, self.posts + 1
         if self.open:
             self.open[-1]["parts"].append(data)
+            self.open[-1]["raw"].append(data)
 
 
 def page_nodes(page_id, html: str | None) -> list[dict]:
@@ -101,7 +111,9 @@ def page_nodes(page_id, html: str | None) -> list[dict]:
 
 def parse_html(pages: DataFrame) -> DataFrame:
     """Nodes of ``pages`` (page_id, html). ``text`` of an element is all text below it with
-    alternative texts of images, white space collapsed; no shuffle."""
+    alternative texts of images, white space collapsed; ``content`` is the bare text, null where
+    it is the same. ``last`` is the last node inside; ``cell_pre``, ``link_pre`` and ``item_pre`` are
+    the nearest cell, link and list item around a node. No shuffle."""
 
     def run(batches):
         for b in batches:
