@@ -12,12 +12,12 @@ still free get twice the time.
 Equal word sequences are one class before anything is compared. Registers are
 banded (24 bands of 6: at a similarity of 0.8 a pair meets in some band with
 probability 0.9993). Within a bucket, members are compared with one centre,
-not with each other, and the links so far give components. Where a bucket still holds
-several components, a delegate of each, drawn anew every round, is compared with up to
-``CENTRES`` members drawn likewise, until a round links nothing. All rounds are linear in the
-buckets' sizes, also where thousands share a passage, so no bucket meets in one task.
-A pair is missed only if in none of its buckets (six on average at 0.8) a centre or
-delegate connects it; pairs that are alike share buckets that passages do not crowd.
+not with each other, then a delegate of each component likewise, and the links so far give components. Of a
+bucket that still holds several components, all pairs across them are then compared
+or ruled out exactly: shingles that one component alone holds cannot be common, the
+others are ordered from rare to frequent, and a pair that reaches the threshold shares
+one early in both orders, at places that leave enough shingles behind (prefix, size
+and position filters). So a pair is missed only if it shares no bucket.
 Pairs are verified on their exact
 shingle sets: Jaccard similarity ``THRESHOLD`` or more. Classes are the connected
 components.
@@ -42,7 +42,8 @@ SIZE = 5
 THRESHOLD = 0.8
 REGISTERS = 144
 BAND = 6
-CENTRES = 16
+#: Rounds in which members of a bucket, then delegates of its components, meet one centre.
+STARS = 2
 #: Bytes of text sketched at once; the work arrays take about thirty times as much.
 SKETCH_BYTES = 4 << 20
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -211,46 +212,74 @@ def _crowded(buckets: DataFrame) -> DataFrame:
     return buckets.join(many, "k")
 
 
-def _centres(buckets: DataFrame, n: int, salt: int) -> DataFrame:
-    """(k, a, a_comp, a_size): up to ``n`` members of each bucket, by a seeded hash."""
-    order = F.struct(F.xxhash64("node", "k", F.lit(salt)).alias("h"), F.col("node").alias("a"), F.col("comp").alias("a_comp"), F.col("size").alias("a_size"))
-    part = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(n)).alias("part")
-    return buckets.groupBy("k", part).agg(F.min(order).alias("c")).select("k", "c.a", "c.a_comp", "c.a_size")
+def shingle_sets(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(node, comp, size, hs) with the distinct shingles of the nodes' texts."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text").where("text is not null")
+
+    def run(batches):
+        for big in batches:
+            for b in byte_batches(big, "text", SKETCH_BYTES):
+                words, offsets = split_words(b.column("text"))
+                h, at, _ = weighted(*shingles(word_hashes(words), offsets))
+                ends = np.searchsorted(at, np.arange(len(offsets))).astype(np.int32)
+                hs = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "comp", "size")), hs], ["node", "comp", "size", "hs"])
+
+    both = nodes.join(texts, "node").select("node", "comp", "size", "text")
+    return both.mapInArrow(run, "node long, comp long, size long, hs array<long>").dropDuplicates(["node"])
+
+
+def open_pairs(nodes: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different components, among them all whose shingle sets
+    have at least that Jaccard similarity.
+
+    Of such a pair the smaller set (then the lesser node) has its first common shingle
+    among the first size - 2t/(1+t) size + 1, the larger among the first size - t size + 1;
+    from there on both hold the overlap t/(1+t) (sum of sizes) or more. Components meet
+    before their nodes, so nodes of one component are never paired."""
+    share = threshold / (1 + threshold)
+    sets = materialise(shingle_sets(nodes, documents), "sets")
+    flat = sets.select("node", "comp", "size", F.explode("hs").alias("s"))
+    held = flat.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s", "n")
+    order = flat.join(held, "s").groupBy("node", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("o"))
+    place = order.select("node", "comp", "size", F.size("o").alias("n_open"), F.posexplode("o").alias("i", "x"))
+    rest = place.select("node", "comp", "size", "x.s", (F.col("n_open") - F.col("i")).cast("long").alias("rest"))
+    early = lambda part: F.col("rest") >= F.ceil(F.col("size") * F.lit(part) - 1e-6)
+    first = materialise(rest.where(early(threshold)).withColumn("least", early(2 * share)), "prefixes")
+    enough = F.expr(f"least(x_rest, y_rest) >= (x_size + y_size) * {share!r}D - 1e-6D")
+    side = lambda df, c: df.select("s", F.col("comp").alias(f"{c}_comp"), F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("rest").alias(f"{c}_rest"))
+    ends = lambda df, c: df.groupBy("s", f"{c}_comp").agg(F.max(f"{c}_rest").alias(f"{c}_rest"), F.min(f"{c}_size").alias(f"{c}_size"))
+    x, y = side(first.where("least"), "x"), side(first, "y")
+    meet = ends(x, "x").join(ends(y, "y"), "s").where(enough & F.expr("x_comp <> y_comp")).select("s", "x_comp", "y_comp")
+    fits = enough & F.expr(f"(x_size < y_size or (x_size = y_size and x < y)) and x_size >= y_size * {threshold!r}D - 1e-9D")
+    pairs = x.join(meet, ["s", "x_comp"]).join(y, ["s", "y_comp"]).where(fits)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_links(sketches: DataFrame, documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b) between different texts, by their least doc_ids: enough to
-    connect the texts that are alike."""
+    connect the texts that are alike and share a bucket."""
     first = sketches.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"))
     reps = sketches.join(first, ["f1", "f2", "doc_id"]).select(F.col("doc_id").alias("node"), "size", "bands")
     bands = reps.select("node", "size", F.explode("bands").alias("k")).distinct()
     buckets = materialise(_crowded(bands), "buckets")
-    members, links, done, known, salt = buckets.withColumn("comp", F.col("node")), [], None, None, 0
-    while True:
-        centres = _centres(members, CENTRES if salt else 1, salt)
+    # Sets of sizes this far apart cannot reach the threshold.
+    fits = F.least("size", "a_size") >= F.greatest("size", "a_size") * F.lit(threshold) - 1e-9
+    members, known = buckets.withColumn("comp", F.col("node")), None
+    for salt in range(STARS):
+        order = lambda seed: F.struct(F.xxhash64("node", "k", F.lit(seed)).alias("h"), "node", "size")
         if salt:
-            order = F.struct(F.xxhash64("node", "k", F.lit(-salt)).alias("h"), "node", "size")
-            members = materialise(members.groupBy("k", "comp").agg(F.min(order).alias("m")).select("k", "comp", "m.node", "m.size"), "delegates")
-        # Sets of sizes this far apart cannot reach the threshold.
-        fits = F.least("size", "a_size") >= F.greatest("size", "a_size") * F.lit(threshold) - 1e-9
-        star = members.join(centres, "k").where(F.expr("node <> a and comp <> a_comp") & fits)
-        pairs = star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+            members = materialise(members.groupBy("k", "comp").agg(F.min(order(-salt)).alias("m")).select("k", "m.node", "m.size"), "delegates")
+        centres = members.groupBy("k").agg(F.min(order(salt)).alias("c")).select("k", F.col("c.node").alias("a"), F.col("c.size").alias("a_size"))
+        star = members.join(centres, "k").where(F.col("node") != F.col("a")).where(fits)
+        pairs = materialise(star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
         new = materialise(verify(pairs, documents, threshold), "links")
-        links.append(new)
-        if salt and new.isEmpty():
-            return known
-        done = pairs if done is None else done.unionByName(pairs)
-        known = links[0]
-        for x in links[1:]:
-            known = known.unionByName(x)
-        labels = components(known)
-        now = buckets.join(labels, "node", "left").select("k", "node", "size", F.coalesce("label", "node").alias("comp"))
-        now = materialise(now, "members")
+        known = new if known is None else known.unionByName(new)
+        now = materialise(buckets.join(components(known), "node", "left").select("k", "node", "size", F.coalesce("label", "node").alias("comp")), "members")
         mixed = now.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
-        members, salt = materialise(now.join(mixed, "k"), "mixed"), salt + 1
+        members = materialise(now.join(mixed, "k"), "mixed")
+    across = materialise(open_pairs(members.select("node", "comp", "size").distinct(), documents, threshold), "pairs")
+    return known.unionByName(materialise(verify(across, documents, threshold), "links"))
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

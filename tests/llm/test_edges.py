@@ -123,6 +123,43 @@ def test_near(spark, docs, none):
     assert [got[i] for i in range(60)] == root
 
 
+def brute_classes(texts, threshold=0.8):
+    sets, root = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def test_near_crowded(spark):
+    """Of some thousand texts on one template two are alike, in buckets that all share."""
+    template = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*template[:85], *(f"o{i}x{k}" for k in range(17))]) for i in range(1500)]
+    texts[1203] = texts[411] + " more"
+    sketches = spark.createDataFrame([(i, i, i, len(texts[i].split()) - 4, list(range(6))) for i in range(1500)], "doc_id long, f1 long, f2 long, size long, bands array<long>")
+    got = near_dup.near_links(sketches, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == {(411, 1203)}
+
+
+def test_near_open_pairs(spark):
+    """Every alike pair across components is among the pairs, few others are."""
+    rng = np.random.default_rng(1)
+    texts = []
+    for i in range(120):
+        words = [f"g{i % 4}w{k}" for k in range(80)][: 60 + i % 20]
+        for j in rng.integers(0, len(words), i % 5):
+            words[j] = f"x{i}y{j}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    comp = [i % 7 * 10 for i in range(120)]
+    want = {(i, j) for j in range(120) for i in range(j) if comp[i] != comp[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = spark.createDataFrame([(i, comp[i], len(sets[i])) for i in range(120)], "node long, comp long, size long")
+    got = {tuple(r) for r in near_dup.open_pairs(nodes, docs, 0.8).collect()}
+    assert want and want <= got and all(comp[a] != comp[b] for a, b in got)
+
 def test_language(spark, docs, none):
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in lang_id.identify(docs, lang_id.fit(docs)).collect()}
     assert got[2, None] == ("und", 0) and got[3, ""] == ("und", 0) and got[5, "!!! ..."] == ("und", 0)
