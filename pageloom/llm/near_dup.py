@@ -1,7 +1,8 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-A document is its set of shingles of ``SIZE`` words, weighted 1 + ln(count). Every
-shingle is a Poisson process whose rate is its weight, seeded by the shingle's hash;
+A document is its set of shingles of ``SIZE`` words, all of one weight, whatever their
+counts: so probability Jaccard similarity is the Jaccard similarity that is verified.
+Every shingle is a Poisson process whose rate is its weight, seeded by the shingle's hash;
 each arrival falls on one of ``REGISTERS`` registers, and a register keeps the shingle
 that arrives first, so two documents' registers agree with the probability that is
 their probability Jaccard similarity. Arrivals are made in rounds up to a time by
@@ -106,15 +107,13 @@ def shingles(w: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[np.n
     return np.concatenate(h), np.concatenate(at)
 
 
-def weighted(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text with their weights."""
+def distinct(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text."""
     order = np.lexsort((h, at))
     h, at = h[order], at[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
-    start = np.flatnonzero(new)
-    counts = np.diff(np.append(start, len(h)))
-    return h[start], at[start], 1 + np.log(counts)
+    return h[new], at[new]
 
 
 def signatures(h: np.ndarray, at: np.ndarray, weight: np.ndarray, n_texts: int, m: int = REGISTERS) -> np.ndarray:
@@ -160,9 +159,9 @@ def sketch(documents: DataFrame) -> DataFrame:
                 words, offsets = split_words(texts)
                 w = word_hashes(words)
                 prints = fingerprints(w, offsets, texts)
-                h, at, weight = weighted(*shingles(w, offsets))
+                h, at = distinct(*shingles(w, offsets))
                 size = np.bincount(at, minlength=len(texts)).astype(np.int64)
-                sig = signatures(h, at, weight, len(texts)).reshape(len(texts), -1, BAND)
+                sig = signatures(h, at, np.ones(len(h)), len(texts)).reshape(len(texts), -1, BAND)
                 band = np.zeros(sig.shape[:2], np.uint64)
                 with np.errstate(over="ignore"):
                     for k in range(BAND):
@@ -189,7 +188,7 @@ def verify(pairs: DataFrame, documents: DataFrame, threshold: float) -> DataFram
                 coded = b.column("text_a").cast(pa.large_string()).dictionary_encode()
                 own, n = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
                 words, offsets = split_words(pa.chunked_array([coded.dictionary, b.column("text_b").cast(pa.large_string())]).combine_chunks())
-                h, at, _ = weighted(*shingles(word_hashes(words), offsets))
+                h, at = distinct(*shingles(word_hashes(words), offsets))
                 ends = np.searchsorted(at, np.arange(len(offsets)))
                 sets = [h[ends[i] : ends[i + 1]] for i in range(len(offsets) - 1)]
                 keep = []
@@ -220,7 +219,7 @@ def shingle_sets(nodes: DataFrame, documents: DataFrame) -> DataFrame:
         for big in batches:
             for b in byte_batches(big, "text", SKETCH_BYTES):
                 words, offsets = split_words(b.column("text"))
-                h, at, _ = weighted(*shingles(word_hashes(words), offsets))
+                h, at = distinct(*shingles(word_hashes(words), offsets))
                 ends = np.searchsorted(at, np.arange(len(offsets))).astype(np.int32)
                 hs = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "comp", "size")), hs], ["node", "comp", "size", "hs"])

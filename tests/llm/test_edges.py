@@ -160,6 +160,15 @@ def test_near_open_pairs(spark):
     got = {tuple(r) for r in near_dup.open_pairs(nodes, docs, 0.8).collect()}
     assert want and want <= got and all(comp[a] != comp[b] for a, b in got)
 
+@pytest.mark.parametrize(("part", "times"), [(10, 100), (6, 100), (4, 1000)])
+def test_near_counts(spark, part, times):
+    """Texts of equal shingle sets share all bands, however often a part of one is repeated."""
+    lines = [" ".join(f"l{n}w{k}" for k in range(8)) for n in range(20)]
+    rows = [(i, " ".join([*lines, *(lines[:part] * n)])) for i, n in enumerate((2, times))]
+    a, b = near_dup.sketch(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert a.size == b.size and a.bands == b.bands
+
+
 def test_language(spark, docs, none):
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in lang_id.identify(docs, lang_id.fit(docs)).collect()}
     assert got[2, None] == ("und", 0) and got[3, ""] == ("und", 0) and got[5, "!!! ..."] == ("und", 0)
