@@ -207,6 +207,16 @@ def test_html(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_groups(spark, monkeypatch):
+    """A menu on a few pages of a host is template text however the host is dealt."""
+    menu = " ".join(f"menu{i}" for i in range(14))
+    rows = [(i, "http://h/x", f"<div>own text of page {i} here</div>" + (f"<div>{menu}</div>" if i % 8 == 0 else "")) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(html_text, "GROUP_PAGES", 2)
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    assert got == {i: f"own text of page {i} here" for i in range(40)}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 8)).astype(np.float32)
