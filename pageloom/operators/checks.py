@@ -89,8 +89,10 @@ TAG = {
     "C_48.3": ("warning", "tag = 'dir' or (tag = 'menu' and not is_html5)"),
     "C_48.6": ("user", "tag in ('b', 'i') and not is_html5"),
 }
-#: Checklist items that every page gets.
-ALWAYS = ["C_19.0", "C_20.0", "C_55.0", "C_56.1", "C_67.0", "C_71.0", "C_81.0", "C_83.0", "C_500.2", "C_500.6", "C_500.11", "C_500.12", "C_600.0", "C_600.8", "C_600.9", "C_600.10"]
+#: Checklist items of a page.
+ALWAYS = ["C_19.0", "C_20.0", "C_55.0", "C_56.1", "C_67.0", "C_71.0", "C_81.0", "C_83.0", "C_500.2", "C_500.6", "C_500.11", "C_500.12", "C_600.0", "C_600.8", "C_600.9", "C_600.10", "C_600.14", "C_600.17", "C_600.19"]
+#: Of these, the items that only pages with links get.
+ALWAYS_LINKS = ["C_56.1", "C_81.0"]
 OUT = ["page_id", "check_id", "type", "nodes", "pres", "extra_text"]
 
 
@@ -248,7 +250,7 @@ PLANS: dict[str, tuple[str, Callable]] = {
     "C_422.0": ("error", lambda e, c, s: _repeated(e, c, s, "accesskey")), "C_423.0": ("error", lambda e, c, s: _repeated(e, c, s, "id", "parent_tag = 'body'")),
     "C_89.0": ("error", lambda e, c, s: _body_text(e, c, s, 0, 0)), "C_89.1": ("user", lambda e, c, s: _body_text(e, c, s, 1, 49, True)), "C_89.2": ("warning", lambda e, c, s: _body_text(e, c, s, 1, 49, False)),
 }
-ALL_IDS = [*EACH, *PAGE, *TAG, *TABLES, *PLANS, "C_57.6"]
+ALL_IDS = [*EACH, *PAGE, *TAG, *TABLES, *PLANS, "C_57.6", *ALWAYS]
 
 
 def _hits(e: DataFrame, checks: dict) -> DataFrame:
@@ -257,8 +259,9 @@ def _hits(e: DataFrame, checks: dict) -> DataFrame:
     return e.select("page_id", "pre", "path", "tag", F.explode(met).alias("m")).select("page_id", "pre", "path", "tag", "m.*")
 
 
-def run_checks(nodes: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    """Problems of the chosen checks (all if None)."""
+def run_checks(nodes: DataFrame, ids: list[str] | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """Problems of the chosen checks (all if None). Pages without a node get their checklist
+    only where ``pages`` names them."""
     want = lambda d: {k: v for k, v in d.items() if ids is None or k in ids}
     e = nodes.where("node_type = 1")
     parts = []
@@ -276,6 +279,8 @@ def run_checks(nodes: DataFrame, ids: list[str] | None = None) -> DataFrame:
     parts += [plan(e, c, s) for c, (s, plan) in want(PLANS).items()]
     if ids is None or "C_57.6" in ids:
         parts.append(_childless_links(e, "C_57.6", "user", nodes))
+    if ids is None or set(ids) & set(ALWAYS):
+        parts.append(checklist(nodes, pages).where(F.col("check_id").isin(ALWAYS if ids is None else ids)))
     if not parts:
         raise ValueError(f"no such checks: {ids}")
     out = parts[0]
@@ -284,9 +289,14 @@ def run_checks(nodes: DataFrame, ids: list[str] | None = None) -> DataFrame:
     return out.select(OUT)
 
 
-def checklist(pages: DataFrame) -> DataFrame:
-    """The items that every page gets."""
-    return pages.select("page_id", F.explode(F.array(*map(F.lit, ALWAYS))).alias("check_id")).withColumn("type", F.lit("info"))
+def checklist(nodes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """The items that every page gets, or every page with links; they have no nodes."""
+    seen = nodes.select("page_id", F.coalesce(F.expr(f"node_type = 1 and {LINK}"), F.lit(False)).alias("links"))
+    if pages is not None:
+        seen = seen.unionByName(pages.select(F.col("page_id").cast(nodes.schema["page_id"].dataType), F.lit(False).alias("links")))
+    items = seen.groupBy("page_id").agg(F.max("links").alias("links")).select("page_id", "links", F.explode(F.array(*map(F.lit, ALWAYS))).alias("check_id")).where(F.col("links") | ~F.col("check_id").isin(ALWAYS_LINKS))
+    none = lambda c: F.array().cast(nodes.select(F.array(c)).schema[0].dataType)
+    return items.select("page_id", "check_id", F.lit("info").alias("type"), none("path").alias("nodes"), none("pre").alias("pres"), F.lit("").alias("extra_text"))
 
 
 def check_summary(problems: DataFrame) -> DataFrame:

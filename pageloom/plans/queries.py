@@ -111,7 +111,8 @@ def _nodes(pages: DataFrame) -> DataFrame:
 
 
 def check_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.run_checks(_nodes(_pages(spark, sf_dir)))
+    pages = _pages(spark, sf_dir)
+    return checks.run_checks(_nodes(pages), pages=pages)
 
 
 def check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +120,11 @@ def check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.check_summary(checks.run_checks(_nodes(read(spark, sf_dir, "pages")), ids))
 
 
+def check_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary over all checks."""
+    return checks.check_summary(check_problems(spark, sf_dir))
+
+
 def content_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.content_candidates(_nodes(read(spark, sf_dir, "pages")))
 
@@ -250,7 +256,7 @@ _WS = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x
 QUERIES = {
     "link_audit": link_audit, "link_inventory": link_inventory, "repeated_hrefs": repeated_hrefs, "page_metrics": page_metrics, "page_metrics_by_host": page_metrics_by_host, "visible_text": visible_text, "page_title": page_title,
     "text_half_width": _rule("half_width"), "text_currency": _rule("currency"), "text_tel_fax": _rule("tel_fax"), "text_time": _rule("time_notation"), "text_units": _rule("units"), "text_weekday": _rule("weekday"),
-    "language_scripts": language_scripts, "doc_similarity": doc_similarity, "report_diff": report_diff, "status_pivot": status_pivot, "topk_signatures": topk_signatures, "check_problems": check_problems, "check_counts": check_counts,
+    "check_totals": check_totals, "language_scripts": language_scripts, "doc_similarity": doc_similarity, "report_diff": report_diff, "status_pivot": status_pivot, "topk_signatures": topk_signatures, "check_problems": check_problems, "check_counts": check_counts,
     "content_extract": content_extract, "gold_grade": gold_grade,
     "candidate_rows": candidate_rows, "candidate_rules": candidate_rules, "candidate_completion": candidate_completion, "evidence_rows": evidence_rows, "final_html": final_html, "link_targets": link_targets,
     "rewrite_strip": rewrite_strip, "rewrite_pages": rewrite_pages, "hint_mining": hint_mining, "queue_build": queue_build, "batch_totals": batch_totals, "queue_by_category": queue_by_category,

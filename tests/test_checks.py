@@ -47,3 +47,10 @@ def test_dates(spark):
     df = spark.createDataFrame([("2024/2/29",), ("2023/2/29",), ("1/2/3",), ("x 2020.12.1 y 12020/1/1",)], "t string")
     got = [r[0] for r in df.select(F.transform(full_dates(F.col("t")), date_name)).collect()]
     assert got == [["2024年2月29日"], [], [], ["2020年12月1日"]]
+
+
+def test_checklist(spark):
+    pages = spark.createDataFrame([(1, "<p>x</p>"), (2, "<a href='u'>x</a>"), (3, "")], "page_id long, html string")
+    got = {(r.page_id, r.check_id) for r in checks.run_checks(parse_html(pages), checks.ALWAYS, pages).collect()}
+    assert len(checks.ALWAYS) == 19
+    assert got == {(i, c) for i in (1, 2, 3) for c in checks.ALWAYS if i == 2 or c not in ("C_56.1", "C_81.0")}
