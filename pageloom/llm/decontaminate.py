@@ -23,26 +23,26 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialise, table, text_key
 
-#: Words of text that is not yet in lower case.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(text):
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Words of a text in A-Z lower case. Splitting takes an eighth of the time of extracting
+    the matches."""
+    words = F.array_remove(F.split(ascii_lower(text), BETWEEN), "")
+    return F.coalesce(words, F.array().cast("array<string>"))
 
 
 def _key(word):
-    # lower() maps equal A-Z-lowered words to equal words, so the key loses no
-    # candidate; what it adds falls at verification.
-    return F.xxhash64(F.lower(word))
+    return F.xxhash64(word)
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """(wkey, len, item_id): each distinct window of each item.
 
-    An item shorter than ``window`` is one window; one without words has none.
-    Rows whose item_id is null are left out."""
-    w = benchmark.where("item_id is not null").select("item_id", _words(ascii_lower(F.col("text"))).alias("w"))
+    An item shorter than ``window`` is one window; one without words has none."""
+    w = benchmark.select("item_id", _words(F.col("text")).alias("w"))
     cut = F.when(F.size("w") >= window, F.transform(F.sequence(F.lit(0), F.size("w") - window), lambda i: F.slice("w", i + 1, window))).otherwise(F.array("w"))
     cut = w.where(F.size("w") > 0).select("item_id", F.explode(cut).alias("win"))
     return cut.select(F.array_join("win", " ").alias("wkey"), F.size("win").alias("len"), "item_id").distinct()
@@ -81,7 +81,7 @@ def find_windows(documents: DataFrame, benchmark: DataFrame, window: int = 13, b
         ws = text.select("doc_id", text_key(F.col("text")).alias("tkey"), _words(F.col("text")).alias("ws"))
         at = ws.select("doc_id", "tkey", "ws", F.posexplode_outer("ws").alias("pos", "w")).withColumn("k", _key(F.col("w")))
         start = F.col("pos") - F.col("apos")
-        same = ascii_lower(F.array_join(F.slice("ws", start + 1, F.col("len")), " ")) == F.col("wkey")
+        same = F.array_join(F.slice("ws", start + 1, F.col("len")), " ") == F.col("wkey")
         bounds = (start >= 0) & (start + F.col("len") <= F.size("ws"))
         # when() keeps slice() from a start before the first word.
         cond = (F.col("k") == F.col("akey")) & F.when(bounds, same).otherwise(False)
@@ -94,9 +94,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words).
 
     Null texts have no words. Rows with a null doc_id, and repeated rows, each get
-    their own result. Empty tables give no hits. Other columns are ignored."""
+    their own result. Windows of items with a null item_id hit words, but there is no id
+    to count or list. Empty tables give no hits. Other columns are ignored."""
     found, items = find_windows(documents, benchmark, window)
-    found = materialise(found, "hits")
+    found, items = materialise(found, "hits"), items.where("item_id is not null")
     key = ["doc_id", "tkey"]
     spans = found.groupBy(*key, "start").agg(F.max(F.col("start") + F.col("len")).alias("stop"))
     before = F.max("stop").over(Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
@@ -106,7 +107,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     ids = ids.groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("ids"))
     stats = hits.withColumnRenamed("doc_id", "d").withColumnRenamed("tkey", "t")
     stats = stats.join(ids, stats["d"].eqNullSafe(ids["doc_id"]) & (stats["t"] == ids["tkey"]), "left").select("d", "t", "n_hit", "ids")
-    base = documents.select("doc_id", text_key(F.col("text")).alias("tkey"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    base = documents.select("doc_id", text_key(F.col("text")).alias("tkey"), F.size(_words(F.col("text"))).cast("long").alias("n_words"))
     out = base.join(stats, base["doc_id"].eqNullSafe(stats["d"]) & (base["tkey"] == stats["t"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     listed = F.coalesce("ids", F.array().cast("array<string>"))
@@ -130,7 +131,7 @@ lens AS (SELECT DISTINCT l FROM win),
 dp AS (SELECT doc_id, ws, l, unnest(range(0, len(ws) - l + 1)) AS p FROM dw, lens WHERE len(ws) >= l),
 hit AS (SELECT d.doc_id, d.p, d.l, w.item_id FROM (SELECT doc_id, p, l, array_to_string(ws[p + 1:p + l], ' ') AS k FROM dp) d JOIN win w ON d.k = w.k AND d.l = w.l),
 pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + l)) AS q FROM (SELECT DISTINCT doc_id, p, l FROM hit)) GROUP BY doc_id),
-ids AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
