@@ -30,7 +30,8 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-#: Segments below this depth form one tail.
+#: Segments up to this depth may become wildcards for taking many values; deeper ones
+#: only for their looks.
 DEPTH = 4
 
 
@@ -58,10 +59,8 @@ def _lexical(s: Column) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    """Up to DEPTH generalised segments, then the tail's mark."""
-    raw = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
-    head = F.transform(F.slice(raw, 1, DEPTH), _lexical)
-    return F.when(F.size(raw) > DEPTH, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    """All segments, those that look like ids generalised."""
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", -1), _lexical)
 
 
 def template_verdicts(judged: DataFrame, spread: int = 20, per_value: float = 5.0, z: float = 1.96, strength: float = 5.0, threshold: float = 0.5) -> DataFrame:
@@ -74,7 +73,7 @@ def template_verdicts(judged: DataFrame, spread: int = 20, per_value: float = 5.
         wide = t.where("seg is not null").groupBy("host", "prefix").agg(F.countDistinct("seg").alias("values"), F.sum("n").alias("urls"))
         wide = wide.where((F.col("values") >= spread) & (F.col("urls") < per_value * F.col("values"))).select("host", "prefix", F.lit(True).alias("wide"))
         t = t.join(wide, ["host", "prefix"], "left")
-        tail = F.slice("tpl", d + 1, DEPTH + 1)
+        tail = F.slice("tpl", F.lit(d + 1), F.size("tpl"))
         t = t.withColumn("tpl", F.when(F.col("wide") & F.col("seg").isNotNull(), F.concat("prefix", F.array(F.lit("*")), tail)).otherwise(F.col("tpl"))).select("host", "segs", "n", "a", "b", "tpl")
     steps = t.select("host", "segs", "a", "b", F.explode(F.sequence(F.lit(0), F.size("tpl"))).alias("d"), "tpl").withColumn("node", F.slice("tpl", 1, F.col("d"))).drop("tpl")
     nodes = steps.groupBy("host", "d", "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("parent", F.when(F.col("d") > 0, F.slice("node", 1, F.col("d") - 1)))
@@ -131,7 +130,7 @@ t{d} AS (SELECT t.host, segs, n, a, b, CASE WHEN w.host IS NOT NULL AND len(tpl)
 WITH RECURSIVE u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 j AS (SELECT page_id, host, path, {name} AS rule, {verdict} AS rv, string_split(regexp_replace(path, '^/', ''), '/') AS raw FROM p),
-s AS (SELECT page_id, host, path, rule, rv, list_concat(list_transform(raw[1:{DEPTH}], lambda s: {lex}), CASE WHEN len(raw) > {DEPTH} THEN ['**'] ELSE [] END) AS segs FROM j),
+s AS (SELECT page_id, host, path, rule, rv, list_transform(raw, lambda s: {lex}) AS segs FROM j),
 t0 AS (SELECT host, segs, count(*) AS n, count(*) FILTER (rv = 'allow') AS a, count(*) FILTER (rv = 'block') AS b, segs AS tpl FROM s GROUP BY host, segs),{levels}
 st AS (SELECT host, segs, a, b, d, tpl[1:d] AS node FROM (SELECT *, unnest(range(0, len(tpl) + 1)) AS d FROM t{DEPTH})),
 nd AS (SELECT host, d, node, CASE WHEN d > 0 THEN node[1:d - 1] END AS parent, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM st GROUP BY host, d, node),
