@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_NO_WORD = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,14 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where neither the setting nor a checkpoint folder exists (tests on one
-    machine) a temporary folder takes its place.
-    """
+    Where neither the setting nor a checkpoint folder exists, a local master (tests on
+    one machine) gets a temporary folder; on a cluster that is an error. All folders
+    of an application lie below one, which ``clean`` removes."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="pageloom-shared-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/pageloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}")
+    # With its scheme, so that Spark and pyarrow take it alike.
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove what this application has written to the shared folder. Results that were
+    not stored elsewhere cannot be read any more."""
+    jvm, path = spark.sparkContext._jvm, shared_dir(spark, "x").rpartition("/")[0]
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -37,6 +52,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pieces(text: str, limit: int) -> list[str]:
+    """``text`` cut into parts of about ``limit`` characters, at ASCII characters that
+    belong to no word; a word longer than that stays whole."""
+    out, at = [], 0
+    while len(text) - at > limit:
+        m = _NO_WORD.search(text, at + limit)
+        if m is None:
+            break
+        out.append(text[at : m.end()])
+        at = m.end()
+    return [*out, text[at:]]
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

@@ -138,6 +138,19 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri if not uri.startswith("file:/") or uri.startswith("file://") else "file://" + uri[5:])
 
 
+def publish(fs, own: str, name: str) -> None:
+    """Give an attempt's finished file its name. Where a name is not overwritten, the file
+    of an earlier attempt of the task, of the same content, stays."""
+    from pyarrow.fs import FileType
+
+    try:
+        fs.move(own, name)
+    except OSError:
+        if fs.get_file_info(name).type == FileType.NotFound:
+            raise
+        fs.delete_file(own)
+
+
 def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int = 0) -> list[dict]:
     """Encode the texts, append ``end_id`` to each and write the shards; returns the
     manifest, one entry per shard (as many as shuffle partitions), in order.
@@ -165,7 +178,7 @@ def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int
         if writer is not None:
             docs, total = writer.close()
             out.close()
-            fs.move(own, name)
+            publish(fs, own, name)
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [docs], "n_ids": [total]}, pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     docs = documents.select(F.col("doc_id").cast("long"), "text").withColumn("_tie", F.xxhash64("text"))
