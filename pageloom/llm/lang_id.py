@@ -12,9 +12,12 @@ transfer matrices of each chunk, a scan over the chunks of each text, then the
 marginals within all chunks. Nothing is shuffled; the model is 2**18 rows of one
 number per language, whatever the corpus' size.
 
-Training takes at most ``TRAIN_DOCS`` labelled documents per language, chosen by a
-hash of their ids, and at most ``TRAIN_WORDS`` words in a row of each. Code-switched
-sequences are made by stringing stretches of different languages together.
+Training takes the whole texts of at most ``TRAIN_DOCS`` labelled documents per language,
+chosen by a hash of their ids. Code-switched sequences are made by stringing stretches
+of different languages together.
+
+A text longer than ``LABEL_BYTES`` is labelled in pieces of that size, at whose ends the
+chain starts anew; their words' expected labels are summed.
 """
 
 from __future__ import annotations
@@ -29,10 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bpe import byte_batches
-from .common import table
+from .common import pieces, table
 
 TRAIN_DOCS = 150
-TRAIN_WORDS = 300
 BITS = 18
 CHUNK = 64
 ROUNDS = 30
@@ -44,9 +46,10 @@ UNKNOWN = "und"
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Lower-cased words (runs of letters and marks) of all texts, and each text's number."""
+    """Lower-cased words (a letter and the letters and marks after it) of all texts, and each
+    text's number."""
     low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    split = pc.split_pattern_regex(low, r"[^\pL\pM]+")
+    split = pc.split_pattern_regex(low, r"^\pM+|(?:[^\pL\pM]+\pM*)+")
     flat, offsets = split.flatten(), split.offsets.to_numpy()
     full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     ends = np.concatenate([[0], np.cumsum(full)])
@@ -212,25 +215,37 @@ def fit(documents: DataFrame, docs_per_language: int = TRAIN_DOCS) -> Model | No
     picked = rows.where(F.col("h") <= bound[F.col("lang")]).withColumn("r", rank).where(F.col("r") <= docs_per_language)
     samples = []
     for r in picked.select("lang", "id", "text").toLocalIterator():
-        words = split_words(pa.array([r["text"]]))[0].to_pylist()
-        skip = max(0, len(words) - TRAIN_WORDS)
-        at = hash(len(words) * 7919) % (skip + 1)
-        samples.append((r["lang"], words[at : at + TRAIN_WORDS]))
+        samples.append((r["lang"], split_words(pa.array([r["text"]]))[0].to_pylist()))
     return train(sorted(samples))
 
 
-def label_batch(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
+def expected(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's number of words and their expected labels."""
     words, sizes = split_words(texts)
-    langs, score = np.full(len(sizes), UNKNOWN, object), np.zeros(len(sizes))
-    if model is not None and len(words):
+    total = np.zeros((len(sizes), len(model.labels)))
+    if len(words):
         coded = words.dictionary_encode()
         scores = model.emissions(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
         p = marginals(scores, sizes, model.moves)[0]
         some = sizes > 0
-        share = np.add.reduceat(p, (np.cumsum(sizes) - sizes)[some], axis=0) / sizes[some][:, None]
-        langs[some] = np.array(model.labels, object)[share.argmax(1)]
-        score[some] = np.clip(share.max(1), 0, 1)
+        total[some] = np.add.reduceat(p, (np.cumsum(sizes) - sizes)[some], axis=0)
+    return sizes, total
+
+
+def label_batch(model: Model | None, texts: pa.Array, limit: int = LABEL_BYTES) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    langs, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    if model is None:
+        return langs.tolist(), score
+    if len(texts) == 1 and texts[0].is_valid and len(texts[0].as_py()) > limit:
+        parts = [expected(model, pa.array([x])) for x in pieces(texts[0].as_py(), limit)]
+        sizes, total = sum(n for n, _ in parts), sum(t for _, t in parts)
+    else:
+        sizes, total = expected(model, texts)
+    some = sizes > 0
+    share = total[some] / sizes[some][:, None]
+    langs[some] = np.array(model.labels, object)[share.argmax(1)]
+    score[some] = np.clip(share.max(1), 0, 1)
     return langs.tolist(), score
 
 
