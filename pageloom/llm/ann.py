@@ -29,6 +29,8 @@ BLOCK_ROWS = 20_000
 DEGREE = 32
 BEAM = 96
 ALPHA = 1.2
+#: Vectors with components beyond this are scaled.
+LARGE = 1e15
 
 
 def search(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, list]:
@@ -136,30 +138,37 @@ def _index(pdf: pd.DataFrame, k: int) -> bytes:
     kept = by[place <= k]
     node = where[kept]
     first = kept[place[place <= k] == 0]
-    points = vectors[first]
+    # Large components are scaled down, which orders inner products alike, so that squares
+    # and their sums stay finite.
+    exact = vectors[first]
+    top = float(np.abs(exact).max())
+    points = (exact / np.float32(top)).astype(np.float32) if top > LARGE else exact
     norms = np.sqrt((points.astype(np.float64) ** 2).sum(1))
     lifted = np.concatenate([points, np.sqrt(np.maximum(norms.max() ** 2 - norms**2, 0))[:, None].astype(np.float32)], 1)
     graph, entry = build(lifted)
     out = io.BytesIO()
-    np.savez(out, lifted=lifted, graph=graph, entry=entry, ids=ids[kept], start=np.searchsorted(node, np.arange(len(points) + 1)))
+    np.savez(out, exact=exact if top > LARGE else np.zeros(0, np.float32), lifted=lifted, graph=graph, entry=entry, ids=ids[kept], start=np.searchsorted(node, np.arange(len(points) + 1)))
     return out.getvalue()
 
 
 def _answer(blob: bytes, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
     f = np.load(io.BytesIO(blob))
     lifted, graph, entry, ids, start = f["lifted"], f["graph"], int(f["entry"]), f["ids"], f["start"]
-    exact = lifted[:, :-1].astype(np.float64)
+    exact = (f["exact"] if f["exact"].size else lifted[:, :-1]).astype(np.float64)
     parts = []
     for i in range(0, len(queries), 512):
         q = queries[i : i + 512]
-        found = search(lifted, graph, entry, np.concatenate([q, np.zeros((len(q), 1), np.float32)], 1), max(BEAM, 2 * k))[0]
+        top = np.abs(q).max(1, keepdims=True)
+        unit = np.where(top > LARGE, q / top, q).astype(np.float32)
+        found = search(lifted, graph, entry, np.concatenate([unit, np.zeros((len(q), 1), np.float32)], 1), max(BEAM, 2 * k))[0]
         row, col = np.nonzero(found >= 0)
         node = found[row, col]
         score = np.einsum("nd,nd->n", exact[node], q[row].astype(np.float64))
         n = start[node + 1] - start[node]
         member = np.repeat(start[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         p = pd.DataFrame({"query_id": query_ids[i : i + 512][np.repeat(row, n)], "vec_id": ids[member], "score": np.repeat(score, n)})
-        p = p[p.query_id != p.vec_id].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        own = np.repeat((exact[node] == q[row]).all(1), n)
+        p = p[~(own & (p.query_id == p.vec_id).to_numpy())].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         parts.append(p.groupby("query_id", sort=False).head(k))
     return pd.concat(parts)
 
@@ -170,7 +179,7 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, shard_rows: int
 
     Rows with a null vec_id, and vectors that are null, zero, or hold null or non-finite
     components take no part. Repeated rows count once; of different vectors under one
-    vec_id each is searched, and each may be found. Vectors meet only those of as many
+    vec_id each is searched, and each may be found, by the others too. Vectors meet only those of as many
     components. Fewer candidates than ``k`` are all returned; an empty table gives none."""
     spark = embeddings.sparkSession
     e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
