@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bpe import byte_batches
-from .common import pieces, table
+from .common import pieces, release, table
 
 TRAIN_DOCS = 150
 BITS = 18
 CHUNK = 64
 ROUNDS = 30
 #: Bytes of text labelled at once; the work arrays take about fifty times as much.
-LABEL_BYTES = 3 << 20
+LABEL_BYTES = 1 << 20
 #: Mean number of words before a made sequence changes its language.
 STRETCH = 40
 UNKNOWN = "und"
@@ -265,6 +265,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
             for b in byte_batches(big, "text", LABEL_BYTES):
                 langs, score = label_batch(shared.value, b.column("text"))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
+        release()
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(run, schema)
