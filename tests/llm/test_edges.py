@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.llm import ann, bpe, decontaminate, html_text, lang_id, lm_score, mixing, near_dup, ngram_trie, token_count, token_file, url_filter
+from pageloom.llm import ann, bpe, common, components, decontaminate, html_text, lang_id, lm_score, mixing, near_dup, ngram_trie, token_count, token_file, url_filter
 
 PATH = bpe.default_path("byte_bpe_50k.json")
 LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
@@ -92,6 +92,15 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages).count() == 7 and url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_deep_urls(spark):
+    """Branches that differ below any depth have verdicts of their own; ties block."""
+    deep = "/a/b/c/d/e/"
+    rows = [(i, f"http://h.net{deep}{'x' if i % 2 else 'y'}/{i}") for i in range(40)] + [(100, "http://h.net/tie/p"), (101, "http://h.net/tie/p")]
+    rules = [("block", "h.net", deep + "x/1"), ("allow", "h.net", deep + "y/1"), ("block", "h.net", deep + "x/3"), ("allow", "h.net", deep + "y/2")]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got[5] == "block" and got[4] == "allow" and got[100] == got[101]
+
+
 def test_mix(docs, none):
     got = mixing.mix(docs, {"a": 1.0}, size=3.0)
     assert set(got.columns) == set(docs.columns) and {r.source for r in got.collect()} <= {"a"}
@@ -138,9 +147,12 @@ def test_near_crowded(spark):
     template = [f"w{i}" for i in range(100)]
     texts = [" ".join([*template[:85], *(f"o{i}x{k}" for k in range(17))]) for i in range(1500)]
     texts[1203] = texts[411] + " more"
-    sketches = spark.createDataFrame([(i, i, i, len(texts[i].split()) - 4, list(range(6))) for i in range(1500)], "doc_id long, f1 long, f2 long, size long, bands array<long>")
-    got = near_dup.near_links(sketches, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert {tuple(r) for r in got.collect()} == {(411, 1203)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bands = F.array(*(F.lit(i).cast("long") for i in range(6)))
+    size = (F.size(F.split("text", " ")) - 4).cast("long")
+    reps = docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("f1"), F.col("doc_id").alias("f2"), "doc_id", F.xxhash64("text").alias("tkey"), size.alias("size"), bands.alias("bands"))
+    got = near_dup.near_components(reps, docs).where("node <> label")
+    assert [tuple(r) for r in got.collect()] == [(1203, 411)]
 
 
 def test_near_open_pairs(spark):
@@ -156,10 +168,71 @@ def test_near_open_pairs(spark):
     comp = [i % 7 * 10 for i in range(120)]
     want = {(i, j) for j in range(120) for i in range(j) if comp[i] != comp[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    nodes = spark.createDataFrame([(i, comp[i], len(sets[i])) for i in range(120)], "node long, comp long, size long")
-    got = {tuple(r) for r in near_dup.open_pairs(nodes, docs, 0.8).collect()}
+    nodes = spark.createDataFrame([(i, comp[i]) for i in range(120)], "node long, comp long")
+    reps = docs.select(F.col("doc_id").alias("node"), "doc_id", F.xxhash64("text").alias("tkey"))
+    shingle_sets = near_dup.shingle_sets(reps, docs)
+    assert {r.node: r.size for r in shingle_sets.collect()} == {i: len(sets[i]) for i in range(120)}
+    first = near_dup.prefixes(nodes, shingle_sets, 0.8)
+    got = {(r.a, r.b) for r in near_dup.open_pairs(first, nodes.withColumnRenamed("comp", "label"), 0.8).collect()}
     assert want and want <= got and all(comp[a] != comp[b] for a, b in got)
 
+
+def test_near_one_id(spark):
+    """Rows of one doc_id are judged by their own texts; repeated rows leave one."""
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(1, x, "a"), (1, y, "a"), (1, x, "b"), (2, x + " more", "a"), (3, y.upper(), "a"), (4, z, "a"), (4, z, "a"), (None, z, "a"), (5, None, "a"), (5, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in near_dup.keep_one(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, x, "a"), (1, y, "a"), (4, z, "a"), (None, z, "a"), (5, None, "a"), (5, None, "a")]))
+    classes = near_dup.near_duplicates(docs)
+    assert classes.count() == len(rows) and {r.class_id for r in classes.where("doc_id in (1, 2, 3)").collect()} == {1}
+
+
+def test_near_long_text(monkeypatch):
+    """A text cut into pieces has the words, shingles and registers of the whole."""
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(["ab", "É", "x1", "-", " ", ". ", "\n", "世"], 3000)) + "w" * 500
+    whole = near_dup.hashed_words(pa.array([text]), 1 << 20)
+    cut = near_dup.hashed_words(pa.array([text]), 50)
+    assert "".join(common.pieces(text, 50)) == text and len(common.pieces(text, 50)) > 50
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    h, at = near_dup.distinct(*near_dup.shingles(*whole))
+    want = near_dup.signatures(h, at, np.ones(len(h)), 1)
+    monkeypatch.setattr(near_dup, "DRAWN", 100)
+    assert (near_dup.signatures(h, at, np.ones(len(h)), 1) == want).all()
+
+
+def test_components(spark):
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (2000, 1500), (2000, 1600)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(len(root)):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.label for r in components.components(df).collect()} == root
+    assert components.components(df.limit(0)).count() == 0
+
+
+def test_near_cluster_pairs(spark, monkeypatch):
+    """A cluster of near copies makes about one link a member, not one for each bucket."""
+    rng, base, rows = np.random.default_rng(5), [f"w{i}" for i in range(400)], []
+    for i in range(400):
+        words = list(base)
+        for j in rng.integers(0, 400, 3):
+            words[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = near_dup.representatives(near_dup.sketch(docs).cache())
+    pairs, verify = [], near_dup.verify
+    monkeypatch.setattr(near_dup, "verify", lambda p, *more: pairs.append(p.count()) or verify(p, *more))
+    near_dup.near_components(reps, docs)
+    assert sum(pairs) < 1.2 * 400
+    monkeypatch.undo()
+    assert {r.class_id for r in near_dup.near_duplicates(docs).collect()} == {0}
+
+
 @pytest.mark.parametrize(("part", "times"), [(10, 100), (6, 100), (4, 1000)])
 def test_near_counts(spark, part, times):
     """Texts of equal shingle sets share all bands, however often a part of one is repeated."""
@@ -177,6 +250,19 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in lang_id.identify(docs, lang_id.fit(none)).collect()} == {"und"}
 
 
+def test_language_texts():
+    """Marks alone are no letter; a text in pieces has about the shares of the whole."""
+    words, sizes = lang_id.split_words(pa.array(["\u0301\u0302", "a\u0301b 1\u0301c", "\u0301a-\u0302", None, "x"]))
+    assert words.to_pylist() == ["a\u0301b", "c", "a", "x"] and sizes.tolist() == [0, 2, 1, 0, 1]
+    en, de = "the of and to in is that it was for".split() * 30, "der die und das ist nicht ein zu mit von".split() * 30
+    model = lang_id.train([("en", en), ("de", de)])
+    text = pa.array([" ".join(en * 3 + de)])
+    whole, cut = lang_id.label_batch(model, text), lang_id.label_batch(model, text, 500)
+    assert whole[0] == cut[0] == ["en"] and abs(whole[1][0] - cut[1][0]) < 0.02
+    even = lang_id.Model(["a", "b"])
+    assert lang_id.label_batch(even, pa.array(["x y"])) == (["a"], [0.5])
+
+
 def test_marginals():
     rng = np.random.default_rng(1)
     scores, moves, sizes = rng.normal(size=(200, 3)), rng.normal(size=(3, 3)), np.array([1, 130, 0, 5, 64])
@@ -212,11 +298,71 @@ def test_html_groups(spark, monkeypatch):
     menu = " ".join(f"menu{i}" for i in range(14))
     rows = [(i, "http://h/x", f"<div>own text of page {i} here</div>" + (f"<div>{menu}</div>" if i % 8 == 0 else "")) for i in range(40)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    monkeypatch.setattr(html_text, "GROUP_PAGES", 2)
+    monkeypatch.setattr(html_text, "GROUP_BYTES", 150)
     got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
     assert got == {i: f"own text of page {i} here" for i in range(40)}
 
 
+def test_html_article_words():
+    """Class words that may name parts of an article's own text remove nothing there."""
+    page = '<div class="related">r</div><article><p>a</p><div class="related">b</div><p class="notice">c</p><section id="discussion">d</section><div class="ad">x</div><div id="comments">y</div><aside>z</aside></article>'
+    assert [t for t, z in html_text.blocks(page) if z == html_text.ARTICLE] == ["a", "b", "c", "d"]
+    assert [t for t, z in html_text.blocks(page) if z == html_text.BOILER] == ["r", "x", "y", "z"]
+
+
+def test_runs_brute():
+    """Suffix array and page counts of runs against plain comparison."""
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        page = np.sort(rng.integers(0, 5, 200))
+        tokens = rng.integers(0, 3, 200)
+        ends = np.flatnonzero(np.append(page[1:] != page[:-1], True))
+        tokens[ends] = -1 - page[ends]
+        order = html_text.suffix_array(tokens, 4)
+        assert [tuple(tokens[i : i + 4]) for i in order] == sorted(tuple(tokens[i : i + 4]) for i in range(200))
+        start, number, pages = html_text.runs(tokens, page, 4)
+        want = {}
+        for i in range(197):
+            if (tokens[i : i + 4] >= 0).all():
+                want.setdefault(tuple(tokens[i : i + 4]), []).append(i)
+        got = {}
+        for i, k in zip(start, number):
+            got.setdefault(k, []).append(int(i))
+        assert sorted(sorted(v) for v in got.values()) == sorted(want.values())
+        assert all(pages[k] == len({page[i] for i in v}) for k, v in got.items())
+
+
+def test_html_brute(spark):
+    """The query's text on pages without articles against counting runs by hand."""
+    rng = np.random.default_rng(2)
+    lines = [" ".join(f"l{n}w{k}" for k in range(rng.integers(8, 16))) for n in range(12)]
+    rows = []
+    for i in range(60):
+        own = [" ".join(f"p{i}b{b}w{k}" for k in range(12)) for b in range(2)]
+        picked = [lines[j] for j in rng.choice(12, 3, replace=False, p=np.array([1, 1, 1, 1, 1, 1, 1, 1, 8, 8, 8, 8]) / 40)]
+        body = [own[0], *picked, own[1]]
+        rows.append((i, f"http://h{i % 3}.example/x", "".join(f"<p>{t}</p>" for t in body)))
+    rows.append(rows[0])
+    seen = {}
+    for i, url, page in set(rows):
+        words = [w for t in html_text.blocks(page) for w in ["\0", *t[0].split()]]
+        for k in range(len(words) - 9):
+            seen.setdefault((url, tuple(words[k : k + 10])), set()).add(i)
+    want = []
+    for i, url, page in rows:
+        own = [t for t, _ in html_text.blocks(page)]
+        words = [(w, b) for b, t in enumerate(own) for w in ["\0", *t.split()]]
+        mark = [False] * len(words)
+        for k in range(len(words) - 9):
+            if len(seen[url, tuple(w for w, _ in words[k : k + 10])]) >= 3:
+                mark[k : k + 10] = [True] * 10
+        keep = [t for b, t in enumerate(own) if sum(m for m, (_, x) in zip(mark, words) if x == b) < 0.8 * sum(x == b for _, x in words)]
+        want.append((i, "\n\n".join(keep)))
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted(want)
+    assert len({len(t.split("\n\n")) for _, t in want}) > 1
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 8)).astype(np.float32)
@@ -233,3 +379,14 @@ def test_nearest(spark):
         hit += len(set(want) & set(mine.vec_id))
     assert hit >= 0.9 * 600 and set(got.query_id) == set(range(0, 600, 20))
     assert ann.nearest(emb.limit(0)).count() == 0
+    clash = emb.where("vec_id < 40 and size(embedding) = 8").select("*", *(F.lit(1).alias(c) for c in ("shard", "dim", "block", "score", "rank", "query_id")))
+    assert ann.nearest(clash).count() == 2 * 20 and ann.nearest(clash).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_nearest_large(spark):
+    """Components whose squares overflow, and other vectors under the query's id."""
+    rows = [(0, [3e38, 1.0]), (1, [2e38, 0.0]), (2, [-1e30, 5.0]), (3, [1.0, 1.0]), (0, [1e38, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=4).collect()
+    x = [(i, np.array(v, np.float32).astype(float)) for i, v in rows]
+    want = sorted(((float(q @ v), i) for k, q in x if k == 0 for i, v in x if v is not q), key=lambda t: (-t[0], t[1]))[:4]
+    assert [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == want
