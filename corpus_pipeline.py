@@ -1,7 +1,11 @@
 """A corpus pipeline: language ID, near-dedup, decontamination, mixing, token files.
 
 ``STAGES`` are (name, function); each function takes (spark, docs, sf_dir) and all of
-what the stage before kept, and all but the last return the columns of documents.
+what the stage before kept, and all but the last return the columns of documents,
+whatever they are called. A null or empty text has no letter and goes in the first
+stage. Rows with a null doc_id are judged by their texts and never near-duplicates.
+Repeated rows are judged alike; near-dedup leaves one of them. Of an empty table every
+stage makes an empty one.
 """
 
 from __future__ import annotations
@@ -29,9 +33,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages cover a twentieth or more go."""
+    """Documents that hold a window of a benchmark item word for word go, whatever share of
+    their words it is: a long document teaches a passage as well as a short one."""
     judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = judged.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).distinct()
+    gone = judged.where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (text_key(docs["text"]) == gone["_key"]), "left_anti")
 
 
@@ -53,7 +58,8 @@ STAGES = [
     ("token_files", token_files),
 ]
 
-#: Language models and tokenizers are not SQL; tests compare stages by brute force.
+#: Language models and tokenizers are not SQL; tests/llm/test_pipeline.py compares the
+#: stages with plain Python.
 ORACLE_SQL = None
 
 
