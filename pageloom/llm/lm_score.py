@@ -1,137 +1,214 @@
 """Language-model scores of texts from an n-gram trie built over the corpus.
 
 Words are lower-cased (A-Z) runs without white space; every text ends in one end
-token. The bigram model discounts seen pairs by ``DISCOUNT`` and gives the rest to
-the unigram base (add-0.1), so probabilities sum to one over the known words and one
-unknown word.
-
-Building: each task counts its tokens' pairs in sorted arrays of hashes and emits one
-row per distinct pair, which are dealt by their first word, summed, sorted and
-written as one trie file per partition (see ngram_trie) in the shared folder. A word's
-own count travels as a pair with an empty successor, so nothing is joined. A hot
-word costs each task one row per successor, and its list is at most the vocabulary.
-
-Scoring maps the files and looks up each batch's distinct words and pairs once.
-Word keys are 64-bit hashes, successors within a context 32-bit ones.
+token. A trigram's probability is (count + P3 p2) / (pair's count + P3), where p2 is the
+pair's (count + P2 p1) / (word's count + P2) and p1 the base (add-0.1), so probabilities
+sum to one over the known words and one unknown word.
+
+Building: each task counts its batches' trigrams in sorted arrays and deals them to
+shards by a hash of their first two words, as one small trie of 32-bit codes a batch and
+shard; so a hot word's grams are spread over all shards, and a hot pair's are at
+most its distinct successors a batch. Pairs' counts are sums over their trigrams. Each
+shard is merged and written as a trie file (see ngram_trie) in the shared folder; the
+words' own counts go to word shards. The number of shards follows the bytes of text.
+
+Scoring maps the files (or, where the store is remote, reads one shard at a time) and
+looks up each batch's distinct words, pairs and trigrams once, in their order. Word
+keys are 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import json
-import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ngram_trie
 from .bpe import byte_batches
-from .common import shared_dir, table
-from .token_file import _fs
+from .common import release, shared_dir, table
+from .near_dup import _GOLD, _mix
+from .ngram_trie import code
+from .token_file import _fs, publish
 
-DISCOUNT = 0.75
-#: Tokens after which a task hands its counts on.
-FLUSH = 4_000_000
-END, BEGIN, OWN = np.uint64(1), np.uint64(2), np.uint64(0)
-_UPPER = re.compile("[A-Z]+")
+P2, P3 = 20.0, 4.0
+#: Bytes of text counted and scored at once, and for which there is a shard.
+BATCH_BYTES = 16 << 20
+SCORE_BYTES = 6 << 20
+SHARD_BYTES = 16 << 20
+#: Distinct words above which three of their numbers do not fit one integer.
+WORDS = (1 << 21) - 2
+END, BEGIN = np.uint64(1), np.uint64(2)
 
 
 def _held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def word_keys(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words: sums of a random number for each byte at its place."""
+    words = words.cast(pa.large_binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(words) and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    sizes = np.diff(offsets)
+    with np.errstate(over="ignore"):
+        place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix((place.astype(np.uint64) << np.uint64(8) | data) * _GOLD + _GOLD), dtype=np.uint64)])
+        keys = _mix(sums[offsets[1:] - offsets[0]] - sums[offsets[:-1] - offsets[0]] + sizes.astype(np.uint64))
+    return keys | np.uint64(4)
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' tokens, each text's end token included, and offsets."""
-    split = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), r"[ \t\n\x0B\f\r]+")
+    """Keys of all texts' tokens, each text's end token included, and offsets."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat, offsets = split.flatten(), split.offsets.to_numpy().astype(np.int64)
     full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     ends = np.concatenate([[0], np.cumsum(full)])
     offsets = ends[offsets - offsets[0]]
     coded = flat.filter(pa.array(full)).dictionary_encode()
-    lower = (_UPPER.sub(lambda m: m[0].lower(), w) for w in coded.dictionary.to_pylist())
-    own = np.array([xxhash.xxh3_64_intdigest(w) | 4 for w in lower] or [4], np.uint64)
-    words = own[coded.indices.to_numpy(zero_copy_only=False)]
+    own = word_keys(pc.ascii_lower(coded.dictionary))
+    words = own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.uint64)
     return np.insert(words, offsets[1:], END), offsets + np.arange(len(offsets))
 
 
-def _sum_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b, n = a[order], b[order], n[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    start = np.flatnonzero(new)
-    return a[start], b[start], np.add.reduceat(n, start) if len(start) else n
-
-
-def _code(b: np.ndarray) -> np.ndarray:
-    """32 bits of a successor's key."""
-    return (b >> np.uint64(32)) ^ (b & np.uint64(0xFFFFFFFF))
+def shard_of(first: np.ndarray, second, shards: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (_mix(first * _GOLD + second) >> np.uint64(20)).astype(np.int64) % shards
+
+
+def _contexts(t: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each, and the one before that; BEGIN where there is none."""
+    one = np.concatenate([[BEGIN], t[:-1]]).astype(np.uint64)
+    one[offsets[:-1]] = BEGIN
+    two = np.concatenate([[BEGIN], one[:-1]]).astype(np.uint64)
+    two[offsets[:-1]] = BEGIN
+    return one, two
+
+
+def count_batch(t: np.ndarray, offsets: np.ndarray):
+    """Distinct (first, second, code of third or NONE, count), in order of the first two."""
+    one, two = _contexts(t, offsets)
+    inner = np.ones(len(t), bool)
+    inner[offsets[:-1]] = False
+    last = t == END
+    first = np.concatenate([two[inner], one[last]])
+    second = np.concatenate([one[inner], t[last]])
+    third = np.concatenate([t[inner], np.zeros(int(last.sum()), np.uint64)])
+    step = len(first) if len(first) < WORDS else WORDS // 4
+    for i in range(0, len(first), max(1, step)):
+        a, b, c = first[i : i + step], second[i : i + step], third[i : i + step]
+        number, words = pd.factorize(np.concatenate([a, b, c]))
+        w, n = np.int64(len(words)), len(a)
+        if w > WORDS:
+            raise AssertionError("more words than rows allow")
+        gram, count = np.unique((number[:n] * w + number[n : 2 * n]) * w + number[2 * n :], return_counts=True)
+        c = words[gram % w]
+        yield words[gram // w // w], words[gram // w % w], np.where(c == 0, ngram_trie.NONE, code(c)), count
+
+
+def _small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in one byte each, and those of 255 or more apart."""
+    return np.minimum(x, 255).astype(np.uint8), x[x >= 255].astype("<u4")
+
+
+def _pack(first, second, third, n) -> bytes:
+    """Rows in order of (first, second) as a small trie of its own. A shard's first words are
+    few enough for 40 bits of their keys."""
+    new_pair = np.ones(len(first), bool)
+    new_pair[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    pair = np.flatnonzero(new_pair)
+    new_first = np.ones(len(pair), bool)
+    new_first[1:] = first[pair][1:] != first[pair][:-1]
+    own = np.flatnonzero(new_first)
+    keys = ngram_trie.short(first[pair][own])
+    small = [_small(x) for x in (np.diff(np.append(own, len(pair))), np.diff(np.append(pair, len(first))), n)]
+    head = np.array([len(own), len(pair), len(first), *(len(big) for _, big in small)], "<u4")
+    parts = (head, code(second[pair]).astype("<u4"), third.astype("<u4"), keys.astype("<u4"), *(big for _, big in small), (keys >> np.uint64(32)).astype(np.uint8), *(x for x, _ in small))
+    return b"".join(p.tobytes() for p in parts)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    n1, n2, n3, *big = np.frombuffer(blob, "<u4", 6).tolist()
+    at, got = 24, []
+    for kind, n in (*(("<u4", n) for n in (n2, n3, n1, *big)), *(("u1", n) for n in (n1, n1, n2, n3))):
+        got.append(np.frombuffer(blob, kind, n, at))
+        at += got[-1].nbytes
+    sizes = [x.astype(np.int64) for x in got[7:]]
+    for x, more in zip(sizes, got[3:6]):
+        x[x == 255] = more
+    keys = got[2].astype(np.uint64) | got[6].astype(np.uint64) << np.uint64(32)
+    return np.repeat(np.repeat(keys, sizes[0]), sizes[1]), np.repeat(got[0], sizes[1]), got[1], sizes[2]
+
+
+def _by_shard(shard: np.ndarray, n: int):
+    order = np.argsort(shard.astype(np.uint16 if n < 65536 else np.int64), kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(n + 1))
+    return ((k, order[cuts[k] : cuts[k + 1]]) for k in range(n) if cuts[k] < cuts[k + 1])
 
 
 def build(documents: DataFrame, folder: str) -> dict:
     """Write the model of ``documents`` to ``folder``; returns its totals. Null texts count
     as empty ones (one end token)."""
     spark = documents.sparkSession
+    size = documents.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
 
     def count(batches):
-        held, n_held = [], 0
-
-        def out():
-            a, b, n = _sum_pairs(*(np.concatenate(x) for x in zip(*held)))
-            for i in range(0, len(a), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000].view(np.int64)) for x in (a, b)] + [pa.array(n[i : i + 200_000])], ["a", "b", "n"])
-
         for big in batches:
-            for batch in byte_batches(big, "text"):
+            for batch in byte_batches(big, "text", BATCH_BYTES):
                 t, offsets = tokens(batch.column("text"))
-                before = np.concatenate([[BEGIN], t[:-1]]).astype(np.uint64)
-                before[offsets[:-1]] = BEGIN
-                one = np.ones(len(t), np.int64)
-                held.append(_sum_pairs(before, t, one))
-                held.append(_sum_pairs(t, np.zeros(len(t), np.uint64), one))
-                n_held += len(t)
-                if n_held >= FLUSH:
-                    yield from out()
-                    held, n_held = [], 0
-        if held:
-            yield from out()
-
-    def write(batches):
+                rows = []
+                for first, second, third, n in count_batch(t, offsets):
+                    for k, own in _by_shard(shard_of(first, second, shards), shards):
+                        rows.append((k, 0, _pack(first[own], second[own], third[own], n[own])))
+                keys, n = np.unique(np.concatenate([t, np.full(batch.num_rows, BEGIN)]), return_counts=True)
+                for k, own in _by_shard(shard_of(keys, np.uint64(0), shards), shards):
+                    rows.append((k, 1, keys[own].astype("<u8").tobytes() + n[own].astype("<u8").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["shard", "kind", "data"])
+        release()
+
+    def put(fs, base, name, write):
         from pyspark import TaskContext
 
-        got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if not got:
-            return
-        a, b, n = (np.concatenate(x) for x in zip(*got))
-        a, b = a.view(np.uint64), b.view(np.uint64)
-        own = b == OWN
-        code = np.where(own, 0, _code(b) + 1)  # own counts first
-        order = np.lexsort((code, a))
-        a, code, n, own = a[order], code[order], n[order], own[order]
-        keys = np.unique(a)
-        counts = np.zeros(len(keys), np.int64)
-        counts[np.searchsorted(keys, a[own])] = n[own]
-        a, code, n = a[~own], code[~own] - 1, n[~own]
-        starts = np.searchsorted(a, np.append(keys, np.uint64(0)))
-        starts[-1] = len(a)
-        task = TaskContext.get()
-        fs, base = _fs(folder)
         fs.create_dir(base, recursive=True)
-        name, temp = f"{base}/trie-{task.partitionId():06d}", f"{base}/_attempt-{task.partitionId()}-{task.taskAttemptId()}"
-        with fs.open_output_stream(temp) as f:
-            ngram_trie.write(f, keys, counts, starts, code, n, DISCOUNT)
-        fs.move(temp, name)
-        yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "tokens": [int(counts.sum())], "words": [int((counts > 0).sum())]})
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents.select("text").mapInArrow(count, "a long, b long, n long").repartition(n, "a")
-    summed = rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    done = summed.mapInArrow(write, "shard long, tokens long, words long").collect()
-    # The partition of a key is Spark's hash of it, as repartition() dealt it.
-    model = {"parts": n, "shards": sorted(r.shard for r in done), "tokens": sum(r.tokens for r in done), "words": sum(r.words for r in done)}
+        own = f"{base}/_attempt-{name}-{TaskContext.get().taskAttemptId()}"
+        with fs.open_output_stream(own) as f:
+            write(f)
+        publish(fs, own, f"{base}/{name}")
+
+    def merge(shard, kind, blobs):
+        fs, base = _fs(folder)
+        if kind == 0:
+            rows = [np.concatenate(x) for x in zip(*map(_unpack, blobs))]
+            put(fs, base, f"grams-{shard:07d}", lambda f: ngram_trie.write_grams(f, *rows, P3))
+            return (shard, kind, 0, 0)
+        flat = [np.frombuffer(b, "<u8").reshape(2, -1) for b in blobs]
+        keys, where = np.unique(np.concatenate([x[0] for x in flat]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([x[1] for x in flat]), len(keys)).astype("<u8")
+        put(fs, base, f"words-{shard:07d}", lambda f: f.write(keys.astype("<u8").tobytes() + counts.tobytes()))
+        real = keys != BEGIN
+        return (shard, kind, int(counts[real].sum()), int(real.sum()))
+
+    def write(batches):
+        held, done = {}, []
+        for b in batches:
+            for shard, kind, data in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if (shard, kind) not in held:
+                    done += [merge(*k, v) for k, v in held.items()]
+                    held = {(shard, kind): []}
+                held[shard, kind].append(data)
+        done += [merge(*k, v) for k, v in held.items()]
+        release()
+        if done:
+            yield pa.RecordBatch.from_pydict(dict(zip(("shard", "kind", "tokens", "words"), zip(*done))))
+
+    dealt = documents.select("text").mapInArrow(count, "shard long, kind int, data binary").repartition(2 * shards, "shard", "kind").sortWithinPartitions("shard", "kind")
+    done = dealt.mapInArrow(write, "shard long, kind long, tokens long, words long").collect()
+    model = {"shards": shards, "grams": sorted(r.shard for r in done if not r.kind), "words": sorted(r.shard for r in done if r.kind), "n_tokens": sum(r.tokens for r in done), "n_words": sum(r.words for r in done)}
     fs, base = _fs(folder)
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/model.json") as f:
@@ -139,78 +216,71 @@ def build(documents: DataFrame, folder: str) -> dict:
     return model
 
 
-def spark_part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Spark's hash partition (Murmur3, seed 42) of 64-bit keys."""
-    k = keys.view(np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.full(len(k), 42, np.uint32)
-        for half in ((k & np.uint64(0xFFFFFFFF)).astype(np.uint32), (k >> np.uint64(32)).astype(np.uint32)):
-            half = half * np.uint32(0xCC9E2D51)
-            half = (half << np.uint32(15)) | (half >> np.uint32(17))
-            h = h ^ (half * np.uint32(0x1B873593))
-            h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
-        h = h ^ np.uint32(8)
-        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-        h = h ^ (h >> np.uint32(16))
-    return h.view(np.int32).astype(np.int64) % parts
-
-
 class Model:
+    """A model's shards, one at a time: mapped, or read where the store is remote. Maps are
+    not kept, so a worker's memory does not grow with the model."""
+
     def __init__(self, folder: str, model: dict):
-        self.folder, self.model, self.open = folder, model, {}
-
-    def shard(self, k: int):
-        if k not in self.open:
-            fs, base = _fs(self.folder)
-            path = f"{base}/trie-{k:06d}"
-            from pyarrow.fs import LocalFileSystem
-
-            if isinstance(fs, LocalFileSystem):
-                data = np.memmap(path, np.uint8, "r")
-            else:
-                with fs.open_input_file(path) as f:
-                    data = np.frombuffer(f.read(), np.uint8)
-            self.open[k] = ngram_trie.Shard(data)
-        return self.open[k]
+        self.folder, self.model = folder, model
+
+    def _data(self, name: str) -> np.ndarray:
+        from pyarrow.fs import LocalFileSystem
+
+        fs, base = _fs(self.folder)
+        if isinstance(fs, LocalFileSystem):
+            return np.memmap(f"{base}/{name}", np.uint8, "r").view(np.ndarray)
+        with fs.open_input_file(f"{base}/{name}") as f:
+            return np.frombuffer(f.read(), np.uint8)
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Exact counts of words."""
+        out, here = np.zeros(len(keys), np.int64), set(self.model["words"])
+        for k, own in _by_shard(shard_of(keys, np.uint64(0), self.model["shards"]), self.model["shards"]):
+            if k in here:
+                known, n = self._data(f"words-{k:07d}").view("<u8").reshape(2, -1)
+                at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
+                out[own] = np.where(known[at] == keys[own], n[at], 0)
+        return out
 
     def score(self, t: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """Known tokens, base score and model score of each text."""
-        total, words = self.model["tokens"], self.model["words"]
-        before = np.concatenate([[BEGIN], t[:-1]]).astype(np.uint64)
-        before[offsets[:-1]] = BEGIN
-        keys, where = np.unique(np.concatenate([t, [BEGIN]]), return_inverse=True)
-        cur = where[: len(t)]
-        prev = np.searchsorted(keys, before)
-        part = spark_part(keys, self.model["parts"])
-        place, count, back = np.full(len(keys), -1), np.zeros(len(keys), np.int64), np.zeros(len(keys))
-        here = set(self.model["shards"])
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(self.model["parts"] + 1))
-        base = None
-        code = prev * np.int64(len(keys)) + cur
-        pair, which = np.unique(code, return_inverse=True)
-        a, b = pair // len(keys), pair % len(keys)
-        seen = np.full(len(pair), np.nan)
-        by = np.argsort(part[a], kind="stable")
-        pcuts = np.searchsorted(part[a][by], np.arange(self.model["parts"] + 1))
-        for k in range(self.model["parts"]):
-            own = order[cuts[k] : cuts[k + 1]]
-            if k not in here or not len(own):
+        total, words, shards = self.model["n_tokens"], self.model["n_words"], self.model["shards"]
+        one, two = _contexts(t, offsets)
+        keys, number = np.unique(np.concatenate([t, [BEGIN]]), return_inverse=True)
+        v = np.int64(len(keys))
+        count = self.counts(keys)
+        base = (count + 0.1) / (total + 0.1 * (words + 1))
+        cur = number[: len(t)].astype(np.int64)
+        begin = np.int64(number[-1])
+        prev = np.concatenate([[begin], cur[:-1]])
+        prev[offsets[:-1]] = begin
+        pair, which = np.unique(prev * v + cur, return_inverse=True)
+        a, b = pair // v, pair % v
+        # A trigram is the number of its first pair with its last word.
+        before = np.concatenate([[0], which[:-1]])
+        gram, back = np.unique(before * v + cur, return_inverse=True)
+        context, last = gram // v, gram % v
+        n_pair, share = np.zeros(len(pair)), np.zeros(len(gram))
+        shard, at = shard_of(keys[a], keys[b], shards), np.searchsorted(context, np.arange(len(pair) + 1))
+        here, codes = set(self.model["grams"]), code(keys)
+        for k, own in _by_shard(shard, shards):
+            if k not in here:
                 continue
-            s = self.shard(k)
-            place[own], count[own], back[own] = s.words(keys[own])
-            p = by[pcuts[k] : pcuts[k + 1]]
-            p = p[place[a[p]] >= 0]
-            if len(p):
-                seen[p] = s.pairs(place[a[p]], _code(keys[b[p]]).astype(np.uint32))
-        with np.errstate(divide="ignore"):
-            base = np.log10((count + 0.1) / (total + 0.1 * (words + 1)))
-        rest = back[a] + base[b]
-        full = np.where(np.isnan(seen), rest, np.logaddexp2(np.nan_to_num(seen) * np.log2(10), rest * np.log2(10)) / np.log2(10))
+            trie = ngram_trie.Grams(self._data(f"grams-{k:07d}"))
+            place, n_pair[own] = trie.pairs(keys[a[own]], codes[b[own]])
+            some = place >= 0
+            size = (at[own + 1] - at[own])[some]
+            mine = np.repeat(at[own][some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            share[mine] = trie.shares(np.repeat(place[some], size), codes[last[mine]])
+        p2 = (n_pair + P2 * base[b]) / (count[a] + P2)
+        inner = np.ones(len(t), bool)
+        inner[offsets[:-1]] = False
+        p = p2[which]
+        rest = P3 / (n_pair[before] + P3)
+        full = np.log10(np.where(inner, share[back] + rest * p, p))
         known = np.concatenate([[0], np.cumsum(count[cur] > 0)])
         starts = offsets[:-1]
-        return known[offsets[1:]] - known[starts], np.add.reduceat(base[cur], starts), np.add.reduceat(full[which], starts)
+        return known[offsets[1:]] - known[starts], np.add.reduceat(np.log10(base)[cur], starts), np.add.reduceat(full, starts)
 
 
 def score(documents: DataFrame) -> DataFrame:
@@ -229,10 +299,11 @@ def score(documents: DataFrame) -> DataFrame:
     def run(batches):
         m = Model(folder, model)
         for big in batches:
-            for b in byte_batches(big, "text"):
+            for b in byte_batches(big, "text", SCORE_BYTES):
                 t, offsets = tokens(b.column("text"))
                 known, base, full = m.score(t, offsets)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.diff(offsets)), pa.array(known), pa.array(np.full(len(known), model["tokens"])), pa.array(base), pa.array(full)], names)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.diff(offsets)), pa.array(known), pa.array(np.full(len(known), model["n_tokens"])), pa.array(base), pa.array(full)], names)
+        release()
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
