@@ -18,9 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are split and encoded at once.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 #: Entries after which a worker's cache starts anew.
-CACHE = 1_000_000
+CACHE = 400_000
 #: A blank or line feed after white space (or after what some library may take for it).
 _SPACE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200D}\x{2028}\x{2029}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}"
 _UNSAFE = f"[{_SPACE}][ \\n]"

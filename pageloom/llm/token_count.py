@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, byte_batches, default_path
-from .common import table
+from .common import release, table
 
 
 def count_tokens(documents: DataFrame, path: str, limit: int = 512) -> DataFrame:
@@ -29,6 +29,7 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 512) -> DataFrame
                 n, _ = encoder.encode(b.column("text"), want_ids=False)
                 size = pc.cast(pc.fill_null(pc.binary_length(b.column("text")), 0), pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        release()
 
     docs = documents.select(F.col("doc_id").cast("long"), "text")
     return docs.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, byte_batches, default_path
-from .common import shared_dir, table
+from .common import release, shared_dir, table
 
 MAGIC = b"PLTOKEN1"
 BLOCK = 65_536
@@ -179,6 +179,7 @@ def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int
             docs, total = writer.close()
             out.close()
             publish(fs, own, name)
+            release()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [docs], "n_ids": [total]}, pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     docs = documents.select(F.col("doc_id").cast("long"), "text").withColumn("_tie", F.xxhash64("text"))
