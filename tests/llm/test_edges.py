@@ -1,5 +1,8 @@
 """Nulls, empty and repeated rows, clashing columns and empty tables; brute force."""
 
+import io
+import math
+import re
 import zlib
 
 import numpy as np
@@ -69,14 +72,50 @@ def test_pieces():
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
-def test_trie():
+def test_elias_fano():
     rng = np.random.default_rng(0)
-    for n, top in ((1, 0), (5, 3), (1000, 100000), (3000, 50)):
+    for n, top in ((1, 0), (5, 3), (1000, 100000), (3000, 50), (70, 10**9)):
         v = np.sort(rng.integers(0, top + 1, n))
         width, parts = ngram_trie.EliasFano.encode(v)
         assert (ngram_trie.EliasFano(width, *parts)[np.arange(n)] == v).all()
 
 
+def test_trie():
+    """Levels found by context against plain counts; repeated rows are summed."""
+    rng = np.random.default_rng(1)
+    keys = rng.integers(4, 2**63, 40).astype(np.uint64)
+    a, b, c = (keys[rng.integers(0, 40, 3000)] for _ in range(3))
+    third = np.where(rng.random(3000) < 0.1, ngram_trie.NONE, ngram_trie.code(c))
+    n = rng.integers(1, 9, 3000)
+    out = io.BytesIO()
+    ngram_trie.write_grams(out, ngram_trie.short(a), ngram_trie.code(b), third, n, 4.0)
+    trie = ngram_trie.Grams(np.frombuffer(out.getvalue(), np.uint8))
+    pair, gram = {}, {}
+    for x, y, z, k in zip(a.tolist(), ngram_trie.code(b).tolist(), third.tolist(), n.tolist()):
+        pair[x, y] = pair.get((x, y), 0) + k
+        gram[x, y, z] = gram.get((x, y, z), 0) + k
+    for x in keys:
+        for y in ngram_trie.code(keys[:20]):
+            place, count = trie.pairs(np.array([x]), np.array([y]))
+            want = pair.get((int(x), int(y)), 0)
+            assert (place[0] >= 0) == (want > 0) and abs(count[0] - want) <= 0.02 * want
+            if want:
+                z = ngram_trie.code(keys)
+                got = trie.shares(np.repeat(place, 40), z)
+                full = np.array([gram.get((int(x), int(y), int(k)), 0) for k in z]) / (want + 4.0)
+                assert np.allclose(got, full, rtol=0.02)
+
+
+def test_lm_rows():
+    rng = np.random.default_rng(6)
+    first = np.repeat(rng.integers(4, 2**63, 40).astype(np.uint64), 300)
+    second = np.concatenate([np.sort(rng.integers(4, 2**63, 290)).astype(np.uint64) if i % 2 else np.repeat(np.uint64(i + 9), 290) for i in range(40) for _ in (0,)])
+    first, third = first[: len(second)], rng.integers(0, 2**32, len(second)).astype(np.uint32)
+    first, n = np.repeat(first[::290], 290), rng.integers(1, 600, len(second))
+    a, b, c, k = lm_score._unpack(lm_score._pack(first, second, third, n))
+    assert (a == ngram_trie.short(first)).all() and (b == ngram_trie.code(second)).all() and (c == third).all() and (k == n).all()
+
+
 def test_lm(docs, none):
     got = lm_score.score(docs).collect()
     assert len(got) == len(ROWS) and {r.n_tokens for r in got if r.doc_id in (2, 3)} == {1}
@@ -84,6 +123,41 @@ def test_lm(docs, none):
     assert lm_score.score(none).count() == 0
 
 
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 500])
+def test_lm_brute(spark, monkeypatch, shard_bytes):
+    """Counts, base and model scores against plain dictionaries, over one or many shards."""
+    rng = np.random.default_rng(9)
+    words = ["The", "of", "x\u00c9", "a,b", "zebra", "Z\u00a0q", *(f"w{i}" for i in range(40))]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 60), p=np.arange(46, 0, -1) / 1081)) + rng.choice(["", " \t\n"])) for i in range(150)] + [(200, None), (None, "the of the of"), (201, "unseen of The")]
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", shard_bytes)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = {i: [w.translate(lower) for w in re.split("[ \t\n\x0b\f\r]+", t or "") if w] + [0] for i, t in rows}
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i in cut}
+    one, two, three = {}, {}, {}
+    for i, t in cut.items():
+        if not held[i]:
+            for k, w in enumerate(t):
+                one[w] = one.get(w, 0) + 1
+                p, q = t[k - 1] if k else 1, t[k - 2] if k > 1 else 1
+                two[p, w] = two.get((p, w), 0) + 1
+                if k:
+                    three[q, p, w] = three.get((q, p, w), 0) + 1
+    n, v, starts = sum(one.values()), len(one), sum(not held[i] for i in cut)
+    base = lambda w: (one.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert any(held.values()) and len(got) == len(rows)
+    for r in got:
+        t, full = cut[r.doc_id], 0.0
+        for k, w in enumerate(t):
+            p, q = t[k - 1] if k else 1, t[k - 2] if k > 1 else 1
+            p2 = (two.get((p, w), 0) + 20 * base(w)) / ((one.get(p, 0) if k else starts) + 20)
+            c2 = two.get((q, p), 0)
+            full += math.log10((three.get((q, p, w), 0) + 4 * p2) / (c2 + 4) if k else p2)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(w in one for w in t), n)
+        assert abs(r.base_score - sum(math.log10(base(w)) for w in t)) < 1e-8
+        assert abs(r.score - full) <= 0.01 * len(t)
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, "HTTP://WWW.Example.ORG/es/1?x"), (2, None), (3, "nothing"), (4, "http://a.com"), (None, "x://q.com/de/5#f"), (5, "x://example.org/en/12"), (5, "x://example.org/en/12")], "page_id long, url string")
     got = {(r.page_id, r.host, r.path): (r.rule, r.verdict) for r in url_filter.filter_urls(pages.withColumn("host", F.lit(1))).collect()}
