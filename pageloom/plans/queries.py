@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import metrics, text
 from pageloom.operators import batch, candidates, checks, compare, decisions, extract, gold_hints, rewrite
-from pageloom.sources import parse_html
+from pageloom.sources import parse_html, parse_pages
 
+from .check_cases import CASES, case_values
 from .fixtures import HTML, TEXTS, html_values, text_values
 
 ANCHOR = r'<a href="([^"]*)">([^<]*)</a>'
@@ -110,14 +111,17 @@ def _nodes(pages: DataFrame) -> DataFrame:
     return parse_html(pages).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _page_nodes(pages: DataFrame) -> DataFrame:
+    return parse_pages(pages).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def check_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    return checks.run_checks(_nodes(pages), pages=pages)
+    return checks.run_checks(_page_nodes(_pages(spark, sf_dir)))
 
 
 def check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = ["C_15.0", "C_57.0", "C_14.0", "C_34.0", "C_51.1"]
-    return checks.check_summary(checks.run_checks(_nodes(read(spark, sf_dir, "pages")), ids))
+    return checks.check_summary(checks.run_checks(_page_nodes(read(spark, sf_dir, "pages")), ids))
 
 
 def check_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +129,15 @@ def check_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.check_summary(check_problems(spark, sf_dir))
 
 
+def check_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each check gives on its small pages; the SQL lists what it must give."""
+    cases = spark.createDataFrame([(i, c, h) for i, (c, h, _, _) in enumerate(CASES)], "page_id long, target string, html string")
+    problems = checks.run_checks(_page_nodes(cases)).groupBy("page_id", F.col("check_id").alias("target")).agg(F.count(F.lit(1)).alias("problems"), F.sum(F.size("nodes")).alias("nodes"))
+    out = cases.select("page_id", "target").join(problems, ["page_id", "target"], "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select(F.col("page_id").alias("case_no"), F.col("target").alias("check_id"), count("problems"), count("nodes"))
+
+
 def content_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.content_candidates(_nodes(read(spark, sf_dir, "pages")))
 
@@ -256,7 +269,7 @@ _WS = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x
 QUERIES = {
     "link_audit": link_audit, "link_inventory": link_inventory, "repeated_hrefs": repeated_hrefs, "page_metrics": page_metrics, "page_metrics_by_host": page_metrics_by_host, "visible_text": visible_text, "page_title": page_title,
     "text_half_width": _rule("half_width"), "text_currency": _rule("currency"), "text_tel_fax": _rule("tel_fax"), "text_time": _rule("time_notation"), "text_units": _rule("units"), "text_weekday": _rule("weekday"),
-    "check_totals": check_totals, "language_scripts": language_scripts, "doc_similarity": doc_similarity, "report_diff": report_diff, "status_pivot": status_pivot, "topk_signatures": topk_signatures, "check_problems": check_problems, "check_counts": check_counts,
+    "check_totals": check_totals, "check_fixtures": check_fixtures, "language_scripts": language_scripts, "doc_similarity": doc_similarity, "report_diff": report_diff, "status_pivot": status_pivot, "topk_signatures": topk_signatures, "check_problems": check_problems, "check_counts": check_counts,
     "content_extract": content_extract, "gold_grade": gold_grade,
     "candidate_rows": candidate_rows, "candidate_rules": candidate_rules, "candidate_completion": candidate_completion, "evidence_rows": evidence_rows, "final_html": final_html, "link_targets": link_targets,
     "rewrite_strip": rewrite_strip, "rewrite_pages": rewrite_pages, "hint_mining": hint_mining, "queue_build": queue_build, "batch_totals": batch_totals, "queue_by_category": queue_by_category,
@@ -286,5 +299,6 @@ ORACLE_SQL = {
     "report_diff": f"WITH {_E} SELECT * FROM d",
     "status_pivot": f"WITH {_E} SELECT type, count(*) FILTER (status = 'new') AS \"new\", count(*) FILTER (status = 'unresolved') AS unresolved, count(*) FILTER (status = 'resolved') AS resolved FROM d GROUP BY type",
     "topk_signatures": f"WITH {_E}, r AS (SELECT type, CAST(row_number() OVER (PARTITION BY type ORDER BY after_count DESC, before_count DESC, jis, method) AS INT) AS rank, jis, method, before_count, after_count FROM d) SELECT * FROM r WHERE rank <= 10",
+    "check_fixtures": f"SELECT CAST(a AS BIGINT) AS case_no, b AS check_id, CAST(c AS BIGINT) AS problems, CAST(d AS BIGINT) AS nodes FROM (VALUES {case_values()}) AS v(a, b, c, d)",
     "check_counts": "SELECT 'C_15.0' AS check_id, 'user' AS type, count(*) AS problems, count(*) AS pages, CAST(sum(n) AS BIGINT) AS nodes FROM (SELECT len(regexp_extract_all(html, '<h[1-6]>')) AS n FROM pages) WHERE n > 0 HAVING count(*) > 0 UNION ALL SELECT 'C_57.0', 'info', count(*), count(*), CAST(sum(n) AS BIGINT) FROM (SELECT len(list_filter(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1), lambda x: length(x) BETWEEN 1 AND 19)) AS n FROM pages) WHERE n > 0 HAVING count(*) > 0",
 }

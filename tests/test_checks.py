@@ -3,31 +3,47 @@
 import pytest
 
 from pageloom.operators import checks, compare
-from pageloom.sources import parse_html
-
-TABLE = "<table><tr><th>a</th><td id='t'>b</td></tr><tr><td headers='none'>c</td><td>d</td></tr></table>"
-CASES = [
-    ("C_14.0", "<h2>a</h2><h4>b</h4>", 1), ("C_14.0", "<h2>a</h2><h3>b</h3>", 0), ("C_423.0", "<body><p id='x'>a</p><p id='x'>b</p></body>", 1), ("C_423.0", "<body><div><p id='x'>a</p><p id='x'>b</p></div></body>", 0),
-    ("C_332.1", f"<body>{TABLE}</body>", 1), ("C_332.1", f"<body>{TABLE}{TABLE.replace('none', 't')}</body>", 2), ("C_57.2", "<a href='/a'><span></span></a>", 1), ("C_57.2", "<a href='/a'><span></span></a><a href='/a'>n</a>", 0),
-    ("C_57.5", "<a href='/a'><span></span></a><a href='/a'>n</a>", 1), ("C_58.0", "<a href='a'>詳細</a><a href='b'>詳細</a>", 1), ("C_58.0", "<a href='a'>詳細</a><a href='a'>詳細</a>", 0), ("C_7.0", "<a href='/X'>x</a><map><area href='/x'></map>", 0),
-    ("C_7.0", "<map><area href='/y'></map>", 1), ("C_34.0", "<marquee>x</marquee>", 1), ("C_36.0", "<meta http-equiv='refresh' content='5'>", 1), ("C_36.1", "<meta http-equiv='refresh' content='5; url=/x'>", 1), ("C_51.1", "<iframe></iframe>", 1),
-    ("C_51.5", "<iframe title=' '></iframe>", 1), ("C_16.2", "<body><li>a<li>b</body>", 1), ("C_16.1", "<ul></ul>", 1), ("C_422.0", "<a accesskey='k' href='a'>1</a><a accesskey='k' href='b'>2</a>", 1), ("C_89.0", "<body><div></div></body>", 1),
-    ("C_89.2", "<body>hi</body>", 1), ("C_3.0", "<img longdesc='d.html'>", 1), ("C_3.0", "<img longdesc='d.html'><a href='d.html'>D</a>", 0), ("C_75.0", "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>", 1),
-    ("C_57.6", "<a href='/e'></a>", 1), ("C_38.0", "<p onclick='x()'>a</p>", 1), ("C_500.20", "<p style='font-size: 12px'>a</p>", 1), ("C_48.2", "<font>a</font><center>b</center>", 2),
-]
-
-
-def test_checks(spark):
-    pages = spark.createDataFrame([(i, h) for i, (_, h, _) in enumerate(CASES)], "page_id long, html string")
+from pageloom.plans.check_cases import CASES
+from pageloom.sources import page_tree, parse_pages
+
+def test_cases():
+    """Every check has a page on which it fires, but for those of the checklist."""
+    assert {c for c, _, n, _ in CASES if n} >= set(checks.ALL_IDS) - set(checks.ALWAYS)
+    assert {c for c, *_ in CASES} <= set(checks.ALL_IDS) and len(checks.ALL_IDS) == len(set(checks.ALL_IDS)) == 108
+
+
+def test_extra_texts(spark):
+    pages = [
+        ("C_14.0", "<h2>a</h2><h4>b</h4>", " (H4タグの1階層上がH2タグです)"), ("C_7.0", "<area href='/Y'>", ' (href="/Y")'), ("C_57.6", "<a href='/e'></a>", "/e"), ("C_48.2", "<u>x</u>", "u"), ("C_13.0", "<font size=2>x</font>", ""), ("C_422.0", "<a accesskey=k></a><b accesskey=k></b>", "k"),
+        ("C_423.0", "<p id=''></p><p id=''></p>", 'id=""'), ("C_12.0", "<table><tr><td><table><tr><td><table></table></table></table>", " (2階層の入れ子のテーブルが存在しています)"), ("C_51.1", "<iframe src='u'></iframe>", ": src=u"), ("C_57.1", "<a href=u title=t>x</a>", ' (link text="x", title="t", href="u")'),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (_, h, _) in enumerate(pages)], "page_id long, html string")
     got = {}
-    for r in checks.run_checks(parse_html(pages), sorted({c for c, _, _ in CASES})).collect():
-        got[r.page_id, r.check_id] = got.get((r.page_id, r.check_id), 0) + 1
-    assert [(c, h, got.get((i, c), 0)) for i, (c, h, _) in enumerate(CASES)] == CASES
+    for r in checks.run_checks(parse_pages(df), [c for c, _, _ in pages]).collect():
+        got.setdefault((r.page_id, r.check_id), []).append(r.extra_text)
+    assert [x in got[i, c] for i, (c, _, x) in enumerate(pages)] == [True] * len(pages)
+
+
+def test_page_tree():
+    names = [f[0] for f in page_tree.FIELDS]
+    row = lambda h: [dict(zip(names, r)) for r in page_tree.page_rows(1, h)]
+    tags = lambda h: [(r["tag"], r["parent_tag"]) for r in row(h) if r["tag"]]
+    assert tags("") == tags(None) == [("html", None), ("head", "html"), ("body", "html")]
+    assert tags("<title>t</title>x")[2:] == [("title", "head"), ("body", "html")]
+    assert tags("<table><td>a<tr><td>b")[3:] == [("table", "body"), ("tbody", "table"), ("tr", "tbody"), ("td", "tr"), ("tr", "tbody"), ("td", "tr")]
+    assert tags("<td>a")[2:] == [("body", "html")]
+    assert [r["path"] for r in row("<p>a</p><p id='q'><b>c</b></p>") if r["tag"]][3:] == ["html > body > p:nth-of-type(1)", "p#q", "p#q > b"]
+    deep = row("<div>" * 3000 + "x")
+    assert len(deep) == 3004 and max(len(r["path"] or "") for r in deep) < 40 * page_tree.DEPTH
+    named = row("<a href=u><img alt=k aria-labelledby='m q'></a><p id=q> own  text </p><i id=r aria-labelledby=r role=img></i>")
+    assert [r["text"] for r in named if r["tag"] == "a"] == ["own  text"]
+    doc = lambda d: row(d)[0]["is_html5"]
+    assert doc("<!doctype HTML>") and doc('<!DOCTYPE html SYSTEM "about:legacy-compat">') and not doc("<p>") and not doc('<!DOCTYPE html PUBLIC "-//W3C//DTD HTML 4.01//EN">')
 
 
 def test_unknown_check(spark):
     with pytest.raises(ValueError):
-        checks.run_checks(parse_html(spark.createDataFrame([(1, "")], "page_id long, html string")), ["nope"])
+        checks.run_checks(parse_pages(spark.createDataFrame([(1, "")], "page_id long, html string")), ["nope"])
 
 
 def test_diff(spark):
@@ -51,6 +67,6 @@ def test_dates(spark):
 
 def test_checklist(spark):
     pages = spark.createDataFrame([(1, "<p>x</p>"), (2, "<a href='u'>x</a>"), (3, "")], "page_id long, html string")
-    got = {(r.page_id, r.check_id) for r in checks.run_checks(parse_html(pages), checks.ALWAYS, pages).collect()}
+    got = {(r.page_id, r.check_id) for r in checks.run_checks(parse_pages(pages), checks.ALWAYS).collect()}
     assert len(checks.ALWAYS) == 19
     assert got == {(i, c) for i in (1, 2, 3) for c in checks.ALWAYS if i == 2 or c not in ("C_56.1", "C_81.0")}
