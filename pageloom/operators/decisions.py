@@ -17,6 +17,30 @@ WORDED, WORDED_NAMES = ["replace-text", "set-text"], ["alt", "title", "lang"]
 APPLIED = ["set-attribute", "remove-attribute", "rename-element", "unwrap-element", "remove-element", "set-text", "replace-text", "remove-style-properties"]
 
 
+#: Attributes whose words name ids, beside links into the page (fixed values).
+ID_REFERENCES = ["aria-describedby", "aria-labelledby", "aria-controls", "aria-owns", "aria-activedescendant", "aria-details", "aria-errormessage", "aria-flowto", "for"]
+# Columns of the evidence file of a batch, and of its summary (names fixed by the format).
+EVIDENCE_FILE = {"page_key": "移行管理ID", "page_title": "ページ名", "url": "URL", "page_category": "カテゴリ", **{c: c for c in ("candidate_id", "rule_id", "category", "processing_class", "status", "confidence", "requires_human_review", "decision_reason", "actor")}}
+
+
+def batch_evidence(decided: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows of a batch's evidence file: EVIDENCE_FILE's columns, those unknown empty. Pages
+    have page_id, url and, if known, id, page_title and category."""
+    own = lambda df, c: F.col(c).cast("string") if c in df.columns else F.lit("")
+    p = pages.select("page_id", own(pages, "id").alias("page_key"), own(pages, "page_title").alias("page_title"), "url", own(pages, "category").alias("page_category"))
+    d = decided.select("page_id", "candidate_id", "rule_id", own(decided, "category").alias("category"), own(decided, "processing_class").alias("processing_class"), F.col("decision").alias("status"), "confidence", F.when(F.col("human_review"), "1").otherwise("0").alias("requires_human_review"), own(decided, "decision_reason").alias("decision_reason"), own(decided, "actor").alias("actor"))
+    return d.join(p, "page_id").select(*EVIDENCE_FILE)
+
+
+def referenced_ids(nodes: DataFrame) -> DataFrame:
+    """(page_id, ids) that attributes of the page refer to."""
+    words = [F.filter(F.split(F.coalesce(F.col("attrs")[a], F.lit("")), r"\s+"), lambda x: x != "") for a in ID_REFERENCES]
+    href = F.col("attrs")["href"]
+    link = F.when(href.startswith("#") & (F.length(href) > 1), F.array(F.substring(href, 2, 2**31 - 1))).otherwise(F.array().cast("array<string>"))
+    refs = nodes.where("node_type = 1").select("page_id", F.explode(F.concat(link, *words)).alias("id"))
+    return refs.groupBy("page_id").agg(F.collect_set("id").alias("ids"))
+
+
 def auto_accept(candidates: DataFrame) -> DataFrame:
     """Adds ``decision``: fixes are accepted unless a person must word an unsure one."""
     wait = F.col("human_review") & (F.col("confidence") == "low") & (F.col("patch_type").isin(WORDED) | ((F.col("patch_type") == "set-attribute") & F.col("patch_name").isin(WORDED_NAMES)))
@@ -60,7 +84,8 @@ def _without_styles(style: Column, names: Column) -> Column:
 
 
 def apply_patches(nodes: DataFrame, decided: DataFrame) -> DataFrame:
-    """(page_id, final_html) with accepted patches applied.
+    """(page_id, final_html) with accepted patches applied, without any class and without the
+    ids to which nothing on the patched page refers.
 
     Of several patches on a node the attribute patches all hold, one each name; of the rest
     the first by candidate number. Text repairs of a node follow each other. What lies in a
@@ -83,7 +108,10 @@ def apply_patches(nodes: DataFrame, decided: DataFrame) -> DataFrame:
     styled = F.filter(F.transform(kept, lambda e: F.struct(e["key"].alias("key"), F.when(e["key"] == "style", _without_styles(e["value"], style)).otherwise(e["value"]).alias("value"))), lambda e: ~((e["key"] == "style") & (e["value"] == "") & (F.size("attr_p") > 0)))
     added = F.transform(put, lambda x: F.struct(x["patch_name"].alias("key"), x["patch_value"].alias("value")))
     first = F.filter(added, lambda x, i: (i == 0) | ~F.exists(F.slice(added, 1, i), lambda y: y["key"] == x["key"]))
-    inside = F.array_join(F.transform(F.concat(styled, first), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), _escaped(e["value"], True), F.lit('"'))), "")
+    n = n.withColumn("attrs", F.map_from_entries(F.concat(styled, first)))
+    n = n.join(referenced_ids(n), "page_id", "left")
+    wanted = F.filter(F.map_entries("attrs"), lambda e: (e["key"] != "class") & ((e["key"] != "id") | F.coalesce(F.array_contains("ids", e["value"]), F.lit(False))))
+    inside = F.array_join(F.transform(wanted, lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), _escaped(e["value"], True), F.lit('"'))), "")
     tag = F.when(F.col("act.patch_type") == "rename-element", F.coalesce("act.patch_value", "act.patch_name")).otherwise(F.col("tag"))
     bare = F.col("act.patch_type") == "unwrap-element"
     fixed = F.aggregate(F.coalesce("text_p", F.array()), F.col("text"), lambda t, x: F.replace(t, x["before"], x["patch_value"]))

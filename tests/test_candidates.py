@@ -43,9 +43,10 @@ def test_candidates(spark):
 
 def test_patches(spark):
     cases = [
-        ("<h1 class=\"k\">aaa</h1><p>５Ａ &amp; b</p>", "<h2 class=\"k\">aaa</h2><p>5A &amp; b</p>"), ("<p style='color:red; Font-Size:2px'>x<br>y</p>", "<p>x<br>y</p>"), ("<p>a<u>b<i>c</i></u>d</p>", "<p>abcd</p>"), ("<meta http-equiv='refresh' content='1'><p>a</p>", "<p>a</p>"),
-        ("<a href='/x'>案内（PDF：1KB）<b>!</b></a>", "<a href=\"/x\">案内!</a>"), ("<a href='/x'><b>案内</b>（PDF：1KB）</a>z", "<a href=\"/x\">案内</a>z"), ("<h2><a href='/x'>案内所</a></h2>", "<a href=\"/x\">案内所</a>"), ("<table summary='s' id='t'><tr><td bgcolor='x'>a</table>", "<table id=\"t\"><tr><td>a</td></tr></table>"),
+        ("<h1 class=\"k\">aaa</h1><p>５Ａ &amp; b</p>", "<h2>aaa</h2><p>5A &amp; b</p>"), ("<p style='color:red; Font-Size:2px'>x<br>y</p>", "<p>x<br>y</p>"), ("<p>a<u>b<i>c</i></u>d</p>", "<p>abcd</p>"), ("<meta http-equiv='refresh' content='1'><p>a</p>", "<p>a</p>"),
+        ("<a href='/x'>案内（PDF：1KB）<b>!</b></a>", "<a href=\"/x\">案内!</a>"), ("<a href='/x'><b>案内</b>（PDF：1KB）</a>z", "<a href=\"/x\">案内</a>z"), ("<h2><a href='/x'>案内所</a></h2>", "<a href=\"/x\">案内所</a>"), ("<table summary='s' id='t'><tr><td bgcolor='x'>a</table>", "<table><tr><td>a</td></tr></table>"),
         ("<p>9:30（日）</p><script>a<b</script>", "<p>9時30分（日曜日）</p><script>a<b</script>"), ("", None), (None, None),
+        ("<p id='a' class='c'>x</p><p id='b'>y</p><a href='#a'>案内所</a>", "<p id=\"a\">x</p><p>y</p><a href=\"#a\">案内所</a>"), ("<p id='a'>x</p><p id='b'>y</p><label for='q b'>z</label>", "<p>x</p><p id=\"b\">y</p><label for=\"q b\">z</label>"),
     ]
     nodes = parse_html(spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "page_id long, html string"))
     decided = decisions.auto_accept(candidates.find_candidates(nodes))
