@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import dice, token_set, visible_text
+from .text import count_matches, dice, token_set, visible_text
 
 #: Metric names and what each counts in lower-cased html.
 COUNTS = {
@@ -20,18 +20,33 @@ def page_metrics(df: DataFrame, html: str = "html") -> DataFrame:
     """``df`` with one column per metric and textLength; scan-local."""
     text = visible_text(F.col(html))
     lower = F.lower(F.coalesce(html, F.lit("")))
-    return df.withColumns({k: F.regexp_count(lower, F.lit(p)) for k, p in COUNTS.items()} | {"weakLink": text.rlike(WEAK_LINK).cast("int"), "textLength": F.length(text)})
+    return df.withColumns({k: count_matches(lower, p) for k, p in COUNTS.items()} | {"weakLink": text.rlike(WEAK_LINK).cast("int"), "textLength": F.length(text)})
+
+
+SIDES = ("old_html", "current_html", "gold_html")
+
+
+def _measured(df: DataFrame, key: str) -> DataFrame:
+    """``key`` and per side m, the metrics in order of KEYS, and t, the token set. Functions of
+    an array's elements keep each side's lower-cased html and text from being made twice."""
+    seen = F.transform(F.array(*SIDES), lambda h: F.struct(F.lower(F.coalesce(h, F.lit(""))).alias("low"), visible_text(h).alias("text")))
+    counts = lambda x: [count_matches(x["low"], p) for p in COUNTS.values()] + [x["text"].rlike(WEAK_LINK).cast("int")]
+    sides = F.transform(seen, lambda x: F.struct(F.array(*counts(x)).alias("m"), token_set(x["text"]).alias("t")))
+    return df.select(key, sides.alias("s")).select(key, *(F.col("s")[i].alias(n) for i, n in enumerate("ocg")))
+
+
+def _statuses() -> Column:
+    """(metric, baseline, current, gold, status) of each metric."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(len(KEYS) - 1)), lambda i: F.struct(F.get(F.array(*map(F.lit, KEYS)), i).alias("metric"), *(F.get(F.col(f"{n}.m"), i).alias(c) for n, c in zip("ocg", ("baseline", "current", "gold")))))
+    before, now = (lambda x, c: F.abs(x[c] - x["gold"])), (lambda x: F.abs(x["current"] - x["gold"]))
+    status = lambda x: F.when(now(x) == 0, "matches_gold").when(now(x) < before(x, "baseline"), "improved").when(now(x) > before(x, "baseline"), "regressed").otherwise("unchanged")
+    return F.transform(rows, lambda x: x.withField("status", status(x)))
 
 
 def compare_html(df: DataFrame, key: str = "id") -> DataFrame:
     """Long rows (key, metric, baseline, current, gold, status) of old_html, current_html and
-    gold_html. Metrics are one array of structs, so a page is scanned once a side."""
-    side = lambda c: [F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(p)) for p in COUNTS.values()] + [visible_text(F.col(c)).rlike(WEAK_LINK).cast("int")]
-    sides = [side(c) for c in ("old_html", "current_html", "gold_html")]
-    rows = F.array(*[F.struct(F.lit(k).alias("metric"), b.alias("baseline"), c.alias("current"), g.alias("gold")) for k, b, c, g in zip(KEYS, *sides)])
-    out = df.select(key, F.explode(rows).alias("m")).select(key, "m.*")
-    before, now = F.abs(F.col("baseline") - F.col("gold")), F.abs(F.col("current") - F.col("gold"))
-    return out.withColumn("status", F.when(now == 0, "matches_gold").when(now < before, "improved").when(now > before, "regressed").otherwise("unchanged"))
+    gold_html; each side is read once."""
+    return _measured(df, key).select(key, F.explode(_statuses()).alias("m")).select(key, "m.*")
 
 
 def _round4(c):
@@ -39,11 +54,12 @@ def _round4(c):
 
 
 def grade(df: DataFrame, key: str = "id") -> DataFrame:
-    """Per case: similarities, metric balance and score (60 % text, 40 % structure)."""
-    tokens = {n: token_set(visible_text(F.col(c))) for n, c in (("o", "old_html"), ("c", "current_html"), ("g", "gold_html"))}
-    sim = df.select(key, dice(tokens["o"], tokens["g"]).alias("bs"), dice(tokens["c"], tokens["g"]).alias("cs"))
-    stats = compare_html(df, key).groupBy(key).agg(*[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("matches_gold", "improved", "regressed", "unchanged")])
-    return sim.join(stats, key).select(
+    """Per case: similarities, metric balance and score (60 % text, 40 % structure), in one
+    pass without a shuffle."""
+    m = _measured(df, key).select(key, dice(F.col("o.t"), F.col("g.t")).alias("bs"), dice(F.col("c.t"), F.col("g.t")).alias("cs"), _statuses().alias("st"))
+    of = lambda s: F.size(F.filter("st", lambda x: x["status"] == s)).cast("long").alias(s)
+    m = m.select(key, "bs", "cs", *map(of, ("matches_gold", "improved", "regressed")))
+    return m.select(
         key, _round4(F.col("bs")).alias("baseline_similarity"), _round4(F.col("cs")).alias("current_similarity"), _round4(F.col("cs") - F.col("bs")).alias("similarity_delta"), "matches_gold", "improved", "regressed",
         (F.lit(len(KEYS)) - F.col("matches_gold")).alias("differs_from_gold"), _round4((F.col("cs") * 0.6 + F.col("matches_gold") / len(KEYS) * 0.4) * 100).alias("score"))
 

@@ -22,6 +22,12 @@ def _chain(c: Column, steps) -> Column:
     return reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, c)
 
 
+def count_matches(c: Column, pattern: str) -> Column:
+    """Matches of a pattern that is never empty. Splitting is linear, where regexp_count
+    copies the text for each match."""
+    return F.size(F.split(c, pattern)) - 1
+
+
 def half_width(c: Column) -> Column:
     return F.translate(c, FULL, HALF)
 
@@ -88,7 +94,11 @@ def visible_text(html: Column) -> Column:
 
 
 def token_set(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+|[぀-ヿ㐀-鿿]{1,3})"), F.lit(1)))
+    """Distinct words of a-z and 0-9 and pieces of up to three characters of kana and Han.
+
+    Tokens are set apart and split: extracting all matches copies the text for each."""
+    apart = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9぀-ヿ㐀-鿿]+", " "), "([a-z0-9]+|[぀-ヿ㐀-鿿]{1,3})", "$1 ")
+    return F.array_distinct(F.array_remove(F.split(apart, " +"), ""))
 
 
 def dice(a: Column, b: Column) -> Column:

@@ -419,10 +419,11 @@ def run_checks(nodes: DataFrame, ids: list[str] | None = None) -> DataFrame:
             extra = F.expr("if(check_id = 'C_13.0', '', tag)") if keys else F.lit("")
             parts.append(hit.select("page_id", "check_id", "type", own[0].alias("nodes"), own[1].alias("pres"), extra.alias("extra_text")))
     if tables := want(TABLES):
-        profile = table_profile(e)
-        for c, (s, cond, how) in tables.items():
-            hit = profile.where(cond)
-            parts.append(_out(hit, c, s, extra=F.expr(_NESTED) if c == "C_12.0" else None) if how == "each" else _grouped(hit, ["page_id"], c, s))
+        met = F.array_compact(F.array(*[F.when(F.expr(cond), F.struct(F.lit(c).alias("check_id"), F.lit(s).alias("type"), F.lit(how).alias("how"))) for c, (s, cond, how) in tables.items()]))
+        hit = table_profile(e).select("page_id", "pre", "path", "tables", F.explode(met).alias("m")).select("page_id", "pre", "path", "tables", "m.*")
+        # Tables of a page in one problem, or each in its own.
+        own = hit.groupBy("page_id", "check_id", "type", F.expr("if(how = 'each', pre, -1)").alias("of")).agg(F.array_sort(F.collect_list(F.struct("pre", "path"))).alias("hit"), F.max("tables").alias("tables"))
+        parts.append(own.select("page_id", "check_id", "type", F.col("hit.path").alias("nodes"), F.col("hit.pre").alias("pres"), F.expr(f"if(check_id = 'C_12.0', {_NESTED}, '')").alias("extra_text")))
     parts += [plan(e, c, s, nodes) for c, (s, plan) in want(PLANS).items()]
     if ids is None or set(ids) & set(ALWAYS):
         parts.append(checklist(nodes).where(F.col("check_id").isin(ALWAYS if ids is None else ids)))

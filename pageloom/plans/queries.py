@@ -15,7 +15,7 @@ from pageloom.operators import batch, candidates, checks, compare, decisions, ex
 from pageloom.sources import parse_html, parse_pages
 
 from .check_cases import CASES, case_values
-from .fixtures import HTML, TEXTS, html_values, text_values
+from .fixtures import DATES, HTML, TEXTS, date_values, html_values, text_values
 
 ANCHOR = r'<a href="([^"]*)">([^<]*)</a>'
 
@@ -24,8 +24,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores (small files) is dealt to all."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def _pages(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", "html").unionByName(spark.createDataFrame(HTML, "page_id long, html string"))
+    return _spread(read(spark, sf_dir, "pages").select("page_id", "html")).unionByName(spark.createDataFrame(HTML, "page_id long, html string").coalesce(1))
 
 
 def _texts(spark, sf_dir):
@@ -112,7 +118,10 @@ def _nodes(pages: DataFrame) -> DataFrame:
 
 
 def _page_nodes(pages: DataFrame) -> DataFrame:
-    return parse_pages(pages).persist(StorageLevel.MEMORY_AND_DISK)
+    """Dealt by page once, so that what the checks group or order by page needs no more
+    shuffle."""
+    n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), pages._jdf.rdd().getNumPartitions())
+    return parse_pages(pages).repartition(n, "page_id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def check_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +130,7 @@ def check_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = ["C_15.0", "C_57.0", "C_14.0", "C_34.0", "C_51.1"]
-    return checks.check_summary(checks.run_checks(_page_nodes(read(spark, sf_dir, "pages")), ids))
+    return checks.check_summary(checks.run_checks(_page_nodes(_spread(read(spark, sf_dir, "pages"))), ids))
 
 
 def check_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,14 +148,43 @@ def check_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.content_candidates(_nodes(read(spark, sf_dir, "pages")))
+    return extract.content_candidates(_nodes(_spread(read(spark, sf_dir, "pages"))))
+
+
+#: Edits that stand for a repair and for a gold page.
+_CURRENT = [("(?s)<nav>.*?</nav>", ""), ("<b>", "<h3>")]
+_GOLD = [("(?s)<footer>.*?</footer>", ""), ("<h1>", "<h2>"), ("<b>", "<h3>"), ("<p>", "<p>こちら詳細")]
+
+
+def _edited(edits):
+    c = F.col("html")
+    for p, r in edits:
+        c = F.regexp_replace(c, p, r)
+    return c
 
 
 def gold_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages against their script-free selves as gold: totals of the grader."""
+    """Each page's repaired self against a gold one that differs from it."""
+    p = _pages(spark, sf_dir)
+    return metrics.grade(p.select(F.col("page_id").alias("id"), F.col("html").alias("old_html"), _edited(_CURRENT).alias("current_html"), _edited(_GOLD).alias("gold_html")))
+
+
+def gold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of those pages by status."""
     p = _pages(spark, sf_dir)
-    strip = F.regexp_replace("html", r"(?is)<script.*?</script>", "")
-    return metrics.summarise(metrics.grade(p.select(F.col("page_id").alias("id"), F.col("html").alias("old_html"), strip.alias("current_html"), strip.alias("gold_html"))))
+    m = metrics.compare_html(p.select(F.col("page_id").alias("id"), F.col("html").alias("old_html"), _edited(_CURRENT).alias("current_html"), _edited(_GOLD).alias("gold_html")))
+    return m.groupBy("metric", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("gold").alias("gold"))
+
+
+def text_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the calendar-valid dates of the texts, in order."""
+    dates = spark.createDataFrame(DATES, "doc_id long, text string")
+    t = read(spark, sf_dir, "documents").select("doc_id", "text").unionByName(dates)
+    return t.select("doc_id", F.posexplode(F.transform(text.full_dates(F.col("text")), text.date_name)).alias("pos", "name")).select("doc_id", F.col("pos").cast("long").alias("pos"), "name")
+
+
+def text_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("doc_id", F.explode(text.spaced_characters(F.col("text"))).alias("run"))
 
 
 def rewrite_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,6 +264,12 @@ def _visible(c: str) -> str:
     return f"trim(regexp_replace({c}, '[\\s\\x0b\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]+', ' ', 'g'))"
 
 
+def _metric_list(c: str) -> str:
+    """The metrics of a column in order of KEYS, as a list."""
+    one = lambda k, p: f"len(list_filter(regexp_extract_all(lower({c}), '<img\\b[^>]*'), lambda x: regexp_matches(x, 'alt=[\"'']([\"''])')))" if k == "emptyAlt" else f"len(regexp_extract_all(lower({c}), '{p.replace(chr(39), chr(39) * 2)}'))"
+    return "[" + ", ".join([*(one(k, p) for k, p in metrics.COUNTS.items()), f"CAST(regexp_matches({_visible(c)}, '{metrics.WEAK_LINK}') AS BIGINT)"]) + "]"
+
+
 def _metric_sql() -> str:
     cols = []
     for k, p in metrics.COUNTS.items():
@@ -266,7 +310,21 @@ c AS (SELECT url FROM u WHERE url <> '' GROUP BY url HAVING count(*) > 1),
 q AS (SELECT page_id, u.url, 'pending' AS status, c.url IS NOT NULL AS duplicate_url FROM u LEFT JOIN c ON u.url = c.url)"""
 _WS = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 
+
+def _sql_edited(edits) -> str:
+    return _replace("html", *edits)
+
+
+_KEYS = "[" + ", ".join(f"'{k}'" for k in metrics.KEYS) + "]"
+_GRADED = f"""{_P}, v AS (SELECT page_id AS id, html AS o, {_sql_edited(_CURRENT)} AS c, {_sql_edited(_GOLD)} AS g FROM p),
+m AS (SELECT id, {", ".join(f"{_metric_list(x)} AS m{x}, {_TOK.format(_visible(x))} AS t{x}" for x in "ocg")} FROM v),
+k AS (SELECT id, unnest({_KEYS}) AS metric, unnest(mo) AS o, unnest(mc) AS c, unnest(mg) AS g FROM m),
+st AS (SELECT *, CASE WHEN c = g THEN 'matches_gold' WHEN abs(c - g) < abs(o - g) THEN 'improved' WHEN abs(c - g) > abs(o - g) THEN 'regressed' ELSE 'unchanged' END AS status FROM k)"""
+_DICE = "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({0}, {1})) / (len({0}) + len({1})) END"
+_R4 = "floor(({}) * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE"
+
 QUERIES = {
+    "gold_metrics": gold_metrics, "text_date": text_date, "text_spaced": text_spaced,
     "link_audit": link_audit, "link_inventory": link_inventory, "repeated_hrefs": repeated_hrefs, "page_metrics": page_metrics, "page_metrics_by_host": page_metrics_by_host, "visible_text": visible_text, "page_title": page_title,
     "text_half_width": _rule("half_width"), "text_currency": _rule("currency"), "text_tel_fax": _rule("tel_fax"), "text_time": _rule("time_notation"), "text_units": _rule("units"), "text_weekday": _rule("weekday"),
     "check_totals": check_totals, "check_fixtures": check_fixtures, "language_scripts": language_scripts, "doc_similarity": doc_similarity, "report_diff": report_diff, "status_pivot": status_pivot, "topk_signatures": topk_signatures, "check_problems": check_problems, "check_counts": check_counts,
@@ -299,6 +357,12 @@ ORACLE_SQL = {
     "report_diff": f"WITH {_E} SELECT * FROM d",
     "status_pivot": f"WITH {_E} SELECT type, count(*) FILTER (status = 'new') AS \"new\", count(*) FILTER (status = 'unresolved') AS unresolved, count(*) FILTER (status = 'resolved') AS resolved FROM d GROUP BY type",
     "topk_signatures": f"WITH {_E}, r AS (SELECT type, CAST(row_number() OVER (PARTITION BY type ORDER BY after_count DESC, before_count DESC, jis, method) AS INT) AS rank, jis, method, before_count, after_count FROM d) SELECT * FROM r WHERE rank <= 10",
+    "gold_metrics": f"WITH {_GRADED} SELECT metric, status, count(*) AS n, CAST(sum(g) AS BIGINT) AS gold FROM st GROUP BY ALL",
+    "gold_grade": f"WITH {_GRADED}, s AS (SELECT id, {_DICE.format('to_', 'tg')} AS bs, {_DICE.format('tc', 'tg')} AS cs FROM (SELECT id, \"to\" AS to_, tc, tg FROM m)), n AS (SELECT id, count(*) FILTER (status = 'matches_gold') AS matches_gold, count(*) FILTER (status = 'improved') AS improved, count(*) FILTER (status = 'regressed') AS regressed FROM st GROUP BY id) "
+    f"SELECT id, {_R4.format('bs')} AS baseline_similarity, {_R4.format('cs')} AS current_similarity, {_R4.format('cs - bs')} AS similarity_delta, matches_gold, improved, regressed, {len(metrics.KEYS)} - matches_gold AS differs_from_gold, {_R4.format(f'(cs * 0.6::DOUBLE + matches_gold::DOUBLE / {len(metrics.KEYS)} * 0.4::DOUBLE) * 100')} AS score FROM s JOIN n USING (id)",
+    "text_date": r"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES """ + date_values() + r""") AS v(doc_id, text)), m AS (SELECT doc_id, regexp_extract_all(text, '(^|[^0-9/.])([0-9]{4}[/.][0-9]{1,2}[/.][0-9]{1,2})($|[^0-9/.])', 2) AS d FROM t),
+l AS (SELECT doc_id, list_filter(d, lambda x: try_cast(replace(x, '.', '/').split('/')[1] || '-' || lpad(replace(x, '.', '/').split('/')[2], 2, '0') || '-' || lpad(replace(x, '.', '/').split('/')[3], 2, '0') AS DATE) IS NOT NULL AND x >= '1000' AND x < '3') AS d FROM m),
+u AS (SELECT doc_id, unnest(range(0, len(d))) AS pos, unnest(d) AS x FROM l) SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(replace(x, '.', '/').split('/')[1] AS VARCHAR) || '年' || CAST(replace(x, '.', '/').split('/')[2] AS INT) || '月' || CAST(replace(x, '.', '/').split('/')[3] AS INT) || '日' AS name FROM u""",
     "check_fixtures": f"SELECT CAST(a AS BIGINT) AS case_no, b AS check_id, CAST(c AS BIGINT) AS problems, CAST(d AS BIGINT) AS nodes FROM (VALUES {case_values()}) AS v(a, b, c, d)",
     "check_counts": "SELECT 'C_15.0' AS check_id, 'user' AS type, count(*) AS problems, count(*) AS pages, CAST(sum(n) AS BIGINT) AS nodes FROM (SELECT len(regexp_extract_all(html, '<h[1-6]>')) AS n FROM pages) WHERE n > 0 HAVING count(*) > 0 UNION ALL SELECT 'C_57.0', 'info', count(*), count(*), CAST(sum(n) AS BIGINT) FROM (SELECT len(list_filter(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1), lambda x: length(x) BETWEEN 1 AND 19)) AS n FROM pages) WHERE n > 0 HAVING count(*) > 0",
 }
