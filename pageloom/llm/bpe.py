@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Bytes of text that are split and encoded at once.
 BATCH_BYTES = 6 << 20
 #: Entries after which a worker's cache starts anew.
-CACHE = 400_000
+CACHE = 700_000
 #: A blank or line feed after white space (or after what some library may take for it).
 _SPACE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200D}\x{2028}\x{2029}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}"
 _UNSAFE = f"[{_SPACE}][ \\n]"
@@ -56,8 +56,8 @@ class Encoder:
         missing = [p for p in parts if p not in self.cache]
         if len(self.cache) + len(missing) > CACHE:
             self.cache, missing = {}, parts
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
+        for at in range(0, len(missing), 8_000):
+            some = missing[at : at + 8_000]
             for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.cache[part] = array("I", e.ids).tobytes()
         return [self.cache[p] for p in parts]
