@@ -377,6 +377,40 @@ def test_html_groups(spark, monkeypatch):
     assert got == {i: f"own text of page {i} here" for i in range(40)}
 
 
+@pytest.mark.parametrize("group_bytes", [8 << 20, 400])
+def test_html_article_template(spark, monkeypatch, group_bytes):
+    """A notice without a class in most articles of a host is template text; a passage
+    that fewer share, copies and near copies are not."""
+    notice, passage = (" ".join(f"{w}{i}" for i in range(14)) for w in ("notice", "shared"))
+    monkeypatch.setattr(html_text, "GROUP_BYTES", group_bytes)
+    rows, want = [], {}
+    for i in range(24):
+        own = [" ".join(f"p{i}b{b}w{k}" for k in range(20)) for b in range(3)]
+        body = own + [passage] * (i % 3 == 0)
+        want[i] = "\n\n".join(body)
+        if i % 4:
+            body.insert(i % 3 + 1, notice)
+        rows.append((i, "http://a.org/x", "".join(f"<p>{t}</p>" for t in body)))
+        copy = [passage, " ".join(f"near{k}" for k in range(30))]
+        rows.append((100 + i, "http://b.org/x", "".join(f"<p>{t}</p>" for t in copy)))
+        want[100 + i] = "\n\n".join(copy)
+        near = [f"number {i}", *copy]
+        rows.append((200 + i, "http://c.org/x", "".join(f"<p>{t}</p>" for t in near)))
+        want[200 + i] = "\n\n".join(near)
+    pages = spark.createDataFrame([(i, u, f"<article>{h}</article>") for i, u, h in [*rows, rows[1]]], "page_id long, url string, html string")
+    got = html_text.main_text(pages).collect()
+    assert len(got) == len(rows) + 1 and {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_html_groups_without_judged(spark, monkeypatch):
+    """Groups whose pages all have an article give the array text and have nothing to judge."""
+    menu = " ".join(f"menu{i}" for i in range(14))
+    rows = [(i, "http://h/x", f"<nav>{menu}</nav><article>text {i}</article>") for i in range(20)] + [(30, "http://h/x", f"<div>{menu}</div><div>own</div>")]
+    monkeypatch.setattr(html_text, "GROUP_BYTES", 100)
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"text {i}" for i in range(20)}, 30: "own"}
+
+
 def test_html_article_words():
     """Class words that may name parts of an article's own text remove nothing there."""
     page = '<div class="related">r</div><article><p>a</p><div class="related">b</div><p class="notice">c</p><section id="discussion">d</section><div class="ad">x</div><div id="comments">y</div><aside>z</aside></article>'
