@@ -43,6 +43,7 @@ SHARD_BYTES = 16 << 20
 #: Distinct words above which three of their numbers do not fit one integer.
 WORDS = (1 << 21) - 2
 END, BEGIN = np.uint64(1), np.uint64(2)
+_SHORT = np.uint64((1 << 40) - 1)
 
 
 def _held_out(doc_id):
@@ -80,34 +81,41 @@ def shard_of(first: np.ndarray, second, shards: int) -> np.ndarray:
         return (_mix(first * _GOLD + second) >> np.uint64(20)).astype(np.int64) % shards
 
 
-def _contexts(t: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each, and the one before that; BEGIN where there is none."""
-    one = np.concatenate([[BEGIN], t[:-1]]).astype(np.uint64)
-    one[offsets[:-1]] = BEGIN
-    two = np.concatenate([[BEGIN], one[:-1]]).astype(np.uint64)
-    two[offsets[:-1]] = BEGIN
+def _contexts(t: np.ndarray, offsets: np.ndarray, begin) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each, and the one before that; ``begin`` where there is none."""
+    one = np.roll(t, 1)
+    one[offsets[:-1]] = begin
+    two = np.roll(one, 1)
+    two[offsets[:-1]] = begin
     return one, two
 
 
 def count_batch(t: np.ndarray, offsets: np.ndarray):
-    """Distinct (first, second, code of third or NONE, count), in order of the first two."""
-    one, two = _contexts(t, offsets)
+    """Distinct (first, second, code of third or NONE, count), in order of the first two. All
+    of a batch is counted at once, unless it has more distinct words than WORDS."""
+    number, words = pd.factorize(np.concatenate([t, [BEGIN, np.uint64(0)]]), sort=True)
+    begin, none = number[-2:]
+    number = number[:-2]
+    one, two = _contexts(number, offsets, begin)
     inner = np.ones(len(t), bool)
     inner[offsets[:-1]] = False
     last = t == END
     first = np.concatenate([two[inner], one[last]])
-    second = np.concatenate([one[inner], t[last]])
-    third = np.concatenate([t[inner], np.zeros(int(last.sum()), np.uint64)])
-    step = len(first) if len(first) < WORDS else WORDS // 4
+    second = np.concatenate([one[inner], number[last]])
+    third = np.concatenate([number[inner], np.full(int(last.sum()), none)])
+    del number, one, two, inner, last
+    step = len(first) if len(words) <= WORDS else WORDS // 4
     for i in range(0, len(first), max(1, step)):
-        a, b, c = first[i : i + step], second[i : i + step], third[i : i + step]
-        number, words = pd.factorize(np.concatenate([a, b, c]))
-        w, n = np.int64(len(words)), len(a)
+        a, b, c, own = first[i : i + step], second[i : i + step], third[i : i + step], words
+        if len(words) > WORDS:
+            number, which = pd.factorize(np.concatenate([a, b, c]), sort=True)
+            (a, b, c), own = np.split(number, 3), words[which]
+        w = np.int64(len(own))
         if w > WORDS:
             raise AssertionError("more words than rows allow")
-        gram, count = np.unique((number[:n] * w + number[n : 2 * n]) * w + number[2 * n :], return_counts=True)
-        c = words[gram % w]
-        yield words[gram // w // w], words[gram // w % w], np.where(c == 0, ngram_trie.NONE, code(c)), count
+        gram, count = np.unique((a * w + b) * w + c, return_counts=True)
+        c = own[gram % w]
+        yield own[gram // w // w], own[gram // w % w], np.where(c == 0, ngram_trie.NONE, code(c)), count
 
 
 def _small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,9 +123,24 @@ def _small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(x, 255).astype(np.uint8), x[x >= 255].astype("<u4")
 
 
+def _steps(keys: np.ndarray) -> tuple[int, np.ndarray]:
+    """40-bit keys as steps from one to the next, in as many bits as the longest has."""
+    steps = np.diff(keys, prepend=np.uint64(0)) & _SHORT
+    width = int(steps.max()).bit_length() if len(steps) else 0
+    bits = np.unpackbits(steps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :width]
+    return width, np.packbits(bits.ravel(), bitorder="little")
+
+
+def _from_steps(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, :width] = np.unpackbits(data, count=n * width, bitorder="little").reshape(n, width)
+    steps = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+    return np.cumsum(steps, dtype=np.uint64) & _SHORT
+
+
 def _pack(first, second, third, n) -> bytes:
     """Rows in order of (first, second) as a small trie of its own. A shard's first words are
-    few enough for 40 bits of their keys."""
+    few enough for 40 bits of their keys, and close to each other in the order of keys."""
     new_pair = np.ones(len(first), bool)
     new_pair[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
     pair = np.flatnonzero(new_pair)
@@ -126,24 +149,38 @@ def _pack(first, second, third, n) -> bytes:
     own = np.flatnonzero(new_first)
     keys = ngram_trie.short(first[pair][own])
     small = [_small(x) for x in (np.diff(np.append(own, len(pair))), np.diff(np.append(pair, len(first))), n)]
-    head = np.array([len(own), len(pair), len(first), *(len(big) for _, big in small)], "<u4")
-    parts = (head, code(second[pair]).astype("<u4"), third.astype("<u4"), keys.astype("<u4"), *(big for _, big in small), (keys >> np.uint64(32)).astype(np.uint8), *(x for x, _ in small))
+    width, steps = _steps(keys)
+    head = np.array([len(own), len(pair), len(first), *(len(big) for _, big in small), width], "<u4")
+    parts = (head, code(second[pair]).astype("<u4"), third.astype("<u4"), *(big for _, big in small), *(x for x, _ in small), steps)
     return b"".join(p.tobytes() for p in parts)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n1, n2, n3, *big = np.frombuffer(blob, "<u4", 6).tolist()
-    at, got = 24, []
-    for kind, n in (*(("<u4", n) for n in (n2, n3, n1, *big)), *(("u1", n) for n in (n1, n1, n2, n3))):
+    n1, n2, n3, *big, width = np.frombuffer(blob, "<u4", 7).tolist()
+    at, got = 28, []
+    for kind, n in (*(("<u4", n) for n in (n2, n3, *big)), *(("u1", n) for n in (n1, n2, n3))):
         got.append(np.frombuffer(blob, kind, n, at))
         at += got[-1].nbytes
-    sizes = [x.astype(np.int64) for x in got[7:]]
-    for x, more in zip(sizes, got[3:6]):
+    sizes = [x.astype(np.int64) for x in got[5:]]
+    for x, more in zip(sizes, got[2:5]):
         x[x == 255] = more
-    keys = got[2].astype(np.uint64) | got[6].astype(np.uint64) << np.uint64(32)
+    keys = _from_steps(np.frombuffer(blob, np.uint8, -1, at), n1, width)
     return np.repeat(np.repeat(keys, sizes[0]), sizes[1]), np.repeat(got[0], sizes[1]), got[1], sizes[2]
 
 
+def _pack_words(keys, n) -> bytes:
+    small, big = _small(n)
+    return np.array([len(keys), len(big)], "<u4").tobytes() + keys.astype("<u8").tobytes() + big.tobytes() + small.tobytes()
+
+
+def _unpack_words(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, more = np.frombuffer(blob, "<u4", 2).tolist()
+    keys, big, small = np.frombuffer(blob, "<u8", n, 8), np.frombuffer(blob, "<u4", more, 8 + 8 * n), np.frombuffer(blob, "u1", n, 8 + 8 * n + 4 * more)
+    counts = small.astype(np.int64)
+    counts[counts == 255] = big
+    return keys, counts
+
+
 def _by_shard(shard: np.ndarray, n: int):
     order = np.argsort(shard.astype(np.uint16 if n < 65536 else np.int64), kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(n + 1))
@@ -167,7 +204,7 @@ def build(documents: DataFrame, folder: str) -> dict:
                         rows.append((k, 0, _pack(first[own], second[own], third[own], n[own])))
                 keys, n = np.unique(np.concatenate([t, np.full(batch.num_rows, BEGIN)]), return_counts=True)
                 for k, own in _by_shard(shard_of(keys, np.uint64(0), shards), shards):
-                    rows.append((k, 1, keys[own].astype("<u8").tobytes() + n[own].astype("<u8").tobytes()))
+                    rows.append((k, 1, _pack_words(keys[own], n[own])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["shard", "kind", "data"])
         release()
 
@@ -186,7 +223,7 @@ def build(documents: DataFrame, folder: str) -> dict:
             rows = [np.concatenate(x) for x in zip(*map(_unpack, blobs))]
             put(fs, base, f"grams-{shard:07d}", lambda f: ngram_trie.write_grams(f, *rows, P3))
             return (shard, kind, 0, 0)
-        flat = [np.frombuffer(b, "<u8").reshape(2, -1) for b in blobs]
+        flat = [_unpack_words(b) for b in blobs]
         keys, where = np.unique(np.concatenate([x[0] for x in flat]), return_inverse=True)
         counts = np.bincount(where, np.concatenate([x[1] for x in flat]), len(keys)).astype("<u8")
         put(fs, base, f"words-{shard:07d}", lambda f: f.write(keys.astype("<u8").tobytes() + counts.tobytes()))
@@ -245,7 +282,6 @@ class Model:
     def score(self, t: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """Known tokens, base score and model score of each text."""
         total, words, shards = self.model["n_tokens"], self.model["n_words"], self.model["shards"]
-        one, two = _contexts(t, offsets)
         keys, number = np.unique(np.concatenate([t, [BEGIN]]), return_inverse=True)
         v = np.int64(len(keys))
         count = self.counts(keys)

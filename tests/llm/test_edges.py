@@ -116,6 +116,45 @@ def test_lm_rows():
     assert (a == ngram_trie.short(first)).all() and (b == ngram_trie.code(second)).all() and (c == third).all() and (k == n).all()
 
 
+@pytest.mark.parametrize("limit, parts", [(50, 1), (12, 104)])
+def test_lm_batch_counts(monkeypatch, limit, parts):
+    """A batch of more tokens than WORDS is counted at once; only distinct words cut it."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(lm_score, "WORDS", limit)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 20, 30)) for _ in range(10)]
+    got, seen = {}, list(lm_score.count_batch(*lm_score.tokens(pa.array(texts))))
+    assert len(seen) <= parts and sum(len(n) for *_, n in seen) >= 100
+    for a, b, c, n in seen:
+        assert len(set(zip(a.tolist(), b.tolist(), c.tolist()))) == len(n)
+        for x, y, z, k in zip(a.tolist(), b.tolist(), c.tolist(), n.tolist()):
+            got[x, y, z] = got.get((x, y, z), 0) + k
+    want = {}
+    for t in texts:
+        t = np.array([lm_score.BEGIN, *lm_score.word_keys(pa.array(t.split())), lm_score.END])
+        for gram in [*zip(t.tolist(), t[1:].tolist(), ngram_trie.code(t[2:]).tolist()), (int(t[-2]), int(t[-1]), int(ngram_trie.NONE))]:
+            want[gram] = want.get(gram, 0) + 1
+    assert got == want
+
+
+def test_lm_row_bytes():
+    """First words in order of their keys take less than five bytes each."""
+    rng = np.random.default_rng(4)
+    first = np.sort(rng.integers(4, 2**63, 3000)).astype(np.uint64)
+    second, third, n = rng.integers(4, 2**63, 3000).astype(np.uint64), rng.integers(1, 2**32, 3000).astype(np.uint32), np.ones(3000, np.int64)
+    blob = lm_score._pack(first, second, third, n)
+    assert len(blob) < 3000 * (4 + 4 + 3 + 4.5)
+    a, b, c, k = lm_score._unpack(blob)
+    assert (a == ngram_trie.short(first)).all() and (b == ngram_trie.code(second)).all() and (c == third).all() and (k == n).all()
+    none = np.zeros(0, np.uint64)
+    assert all(len(x) == 0 for x in lm_score._unpack(lm_score._pack(none, none, none.astype(np.uint32), none)))
+
+
+def test_lm_words():
+    keys, n = np.array([4, 9, 2**63 + 5], np.uint64), np.array([1, 254, 70_000])
+    blob = lm_score._pack_words(keys, n)
+    assert len(blob) < 16 * len(keys) and all((a == b).all() for a, b in zip(lm_score._unpack_words(blob), (keys, n)))
+
+
 def test_lm(docs, none):
     got = lm_score.score(docs).collect()
     assert len(got) == len(ROWS) and {r.n_tokens for r in got if r.doc_id in (2, 3)} == {1}
