@@ -6,7 +6,7 @@ the nodes by one aggregation a page, in the order of its tags.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.sources.html_nodes import VOID
@@ -32,13 +32,12 @@ def batch_evidence(decided: DataFrame, pages: DataFrame) -> DataFrame:
     return d.join(p, "page_id").select(*EVIDENCE_FILE)
 
 
-def referenced_ids(nodes: DataFrame) -> DataFrame:
-    """(page_id, ids) that attributes of the page refer to."""
+def _references() -> Column:
+    """Ids of its page that a node's attributes refer to."""
     words = [F.filter(F.split(F.coalesce(F.col("attrs")[a], F.lit("")), r"\s+"), lambda x: x != "") for a in ID_REFERENCES]
     href = F.col("attrs")["href"]
     link = F.when(href.startswith("#") & (F.length(href) > 1), F.array(F.substring(href, 2, 2**31 - 1))).otherwise(F.array().cast("array<string>"))
-    refs = nodes.where("node_type = 1").select("page_id", F.explode(F.concat(link, *words)).alias("id"))
-    return refs.groupBy("page_id").agg(F.collect_set("id").alias("ids"))
+    return F.concat(link, *words)
 
 
 def auto_accept(candidates: DataFrame) -> DataFrame:
@@ -92,14 +91,19 @@ def apply_patches(nodes: DataFrame, decided: DataFrame) -> DataFrame:
     removed element, or one whose text is set, goes with it. Comments and the doctype are
     not nodes and are not written. Pages without a node have no row."""
     p = decided.where((F.col("decision") == "accepted") & F.col("patch_type").isin(APPLIED))
-    kind = lambda *k: F.col("patch_type").isin(*k)
-    pick = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.struct("candidate_id", "patch_type", "patch_name", "patch_value", "before"))))
-    p = p.groupBy("page_id", "pre").agg(pick(kind("set-attribute", "remove-attribute", "remove-style-properties")).alias("attr_p"), pick(kind("replace-text")).alias("text_p"), pick(kind("rename-element", "unwrap-element", "remove-element", "set-text")).alias("node_p"))
-    n = nodes.select("page_id", "pre", "last", "depth", "node_type", "tag", "attrs", "text", "parent_tag").join(p, ["page_id", "pre"], "left")
-    n = n.withColumn("act", F.try_element_at("node_p", F.lit(1)))
-    gone = n.where("act.patch_type in ('remove-element', 'set-text')").groupBy("page_id").agg(F.collect_list(F.struct("pre", "last")).alias("cut"))
-    n = n.join(gone, "page_id", "left")
-    n = n.where("not coalesce(exists(cut, c -> pre > c.pre and pre <= c.last), false) and coalesce(act.patch_type, '') <> 'remove-element'")
+    # Nodes and patches are dealt by page once: what belongs to a node, and what to a page,
+    # meets in windows, and candidates are worked out once.
+    own = ["last", "depth", "node_type", "tag", "attrs", "text", "parent_tag"]
+    patch = F.struct("candidate_id", "patch_type", "patch_name", "patch_value", "before")
+    texts = F.when(F.col("node_type") == 3, F.col("text")).alias("text")  # those of elements are not written
+    n = nodes.select("page_id", "pre", *[texts if c == "text" else c for c in own]).withColumn("patch", F.lit(None).cast(p.select(patch.alias("x")).schema["x"].dataType))
+    n = n.unionByName(p.select("page_id", "pre", patch.alias("patch")), allowMissingColumns=True).repartition("page_id")
+    node, page = Window.partitionBy("page_id", "pre"), Window.partitionBy("page_id")
+    n = n.withColumn("patches", F.collect_list("patch").over(node)).where("node_type is not null")
+    pick = lambda *k: F.when(F.size("patches") > 0, F.array_sort(F.filter("patches", lambda x: x["patch_type"].isin(*k))))
+    n = n.select("page_id", "pre", *own, pick("set-attribute", "remove-attribute", "remove-style-properties").alias("attr_p"), pick("replace-text").alias("text_p"), F.try_element_at(pick("rename-element", "unwrap-element", "remove-element", "set-text"), F.lit(1)).alias("act"))
+    n = n.withColumn("cut", F.collect_list(F.when(F.col("act.patch_type").isin("remove-element", "set-text"), F.struct("pre", "last"))).over(page))
+    n = n.where("not exists(cut, c -> pre > c.pre and pre <= c.last) and coalesce(act.patch_type, '') <> 'remove-element'").drop("cut")
     named = lambda kinds: F.transform(F.filter(F.coalesce("attr_p", F.array()), lambda x: x["patch_type"].isin(*kinds)), lambda x: x["patch_name"])
     drop, style = named(["remove-attribute"]), F.split(F.array_join(named(["remove-style-properties"]), ","), ",")
     put = F.filter(F.coalesce("attr_p", F.array()), lambda x: x["patch_type"] == "set-attribute")
@@ -109,8 +113,8 @@ def apply_patches(nodes: DataFrame, decided: DataFrame) -> DataFrame:
     added = F.transform(put, lambda x: F.struct(x["patch_name"].alias("key"), x["patch_value"].alias("value")))
     first = F.filter(added, lambda x, i: (i == 0) | ~F.exists(F.slice(added, 1, i), lambda y: y["key"] == x["key"]))
     n = n.withColumn("attrs", F.map_from_entries(F.concat(styled, first)))
-    n = n.join(referenced_ids(n), "page_id", "left")
-    wanted = F.filter(F.map_entries("attrs"), lambda e: (e["key"] != "class") & ((e["key"] != "id") | F.coalesce(F.array_contains("ids", e["value"]), F.lit(False))))
+    n = n.withColumn("refs", F.when(F.col("node_type") == 1, _references())).withColumn("ids", F.collect_list(F.when(F.size("refs") > 0, F.col("refs"))).over(page))
+    wanted = F.filter(F.map_entries("attrs"), lambda e: (e["key"] != "class") & ((e["key"] != "id") | F.exists("ids", lambda refs: F.array_contains(refs, e["value"]))))
     inside = F.array_join(F.transform(wanted, lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), _escaped(e["value"], True), F.lit('"'))), "")
     tag = F.when(F.col("act.patch_type") == "rename-element", F.coalesce("act.patch_value", "act.patch_name")).otherwise(F.col("tag"))
     bare = F.col("act.patch_type") == "unwrap-element"
