@@ -73,7 +73,10 @@ def date_name(x: Column) -> Column:
 def spaced_characters(c: Column) -> Column:
     """Runs of three or more single characters apart, one of them CJK."""
     runs = F.regexp_extract_all(c, F.lit(r"((?:[^\s　 ][ \t　 ]+){2,}[^\s　 ])"), F.lit(1))
-    return F.filter(runs, lambda x: x.rlike(r"[぀-ヿ㐀-鿿豈-﫿]"))
+    cjk = r"[぀-ヿ㐀-鿿豈-﫿]"
+    # What every run holds is looked for first: few texts have both.
+    maybe = c.rlike(r"[ \t　 ][^\s　 ][ \t　 ]") & c.rlike(cjk)
+    return F.when(~maybe, F.array().cast("array<string>")).otherwise(F.filter(runs, lambda x: x.rlike(cjk)))
 
 
 def language_script(c: Column) -> Column:

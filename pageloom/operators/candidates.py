@@ -41,6 +41,8 @@ NO_BASE = "https://example.invalid/"
 
 #: Collectors in the order in which candidates are numbered.
 ORDER = ["heading", "heading_text", "heading_quality", "heading_link", "table", "image", "image_group", "link", "iframe", "style", "decoration", "bold", "numbered", "text", "list", "refresh", "duplicate", "frame", "deprecated", "empty_link", "same_text"]
+#: Elements whose own texts detectors read; those of others need not be kept.
+TEXTS_OF = frozenset(["a", "p", "div", "figure", "caption", "figcaption", "blink", *HEADINGS])
 FIELDS = ["rule_id", "message", "patch_type", "patch_name", "patch_value", "before", "confidence", "human_review", "collector", "step"]
 KEY = ["page_id", "pre", "path"]
 
@@ -160,7 +162,13 @@ def _unspaced(c: Column) -> Column:
 def _fired(rows: DataFrame, detectors: list[Detector]) -> DataFrame:
     """All detectors in one scan; ``step`` is a detector's place in its list."""
     hits = F.filter(F.array(*[d.struct(i) for i, d in enumerate(detectors)]), lambda x: x.isNotNull())
-    return rows.select(*KEY, F.explode(hits).alias("c")).select(*KEY, "c.*")
+    return _each(rows.select(*KEY, hits.alias("c")))
+
+
+def _each(rows: DataFrame) -> DataFrame:
+    """One row for each struct in ``c``, a column of its own: detectors in a projection take
+    half the time of detectors inside an explode, into which an inner one would be folded."""
+    return rows.select(*KEY, F.explode_outer("c").alias("c")).where("c is not null").select(*KEY, "c.*")
 
 
 def element_candidates(nodes: DataFrame) -> DataFrame:
@@ -195,28 +203,35 @@ def _resolved(href: Column, base: Column) -> dict[str, Column]:
     parts = F.split(F.regexp_replace(joined, r"/\.{1,2}$", "$0/"), "/")
     empty = F.lit([]).cast("array<string>")
     folded = F.aggregate(parts, empty, lambda a, x: F.when(x == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
-    clean = lambda c: F.regexp_replace(F.when(c == "", "/").otherwise(c), r"(?i)/index\.(html?|php)$", "/")
-    return {"http": href.rlike("(?i)^https?:") | ~protocol, "protocol": protocol, "relative": ~protocol & ~double, "host": F.when(protocol | double, host(href)).otherwise(host(base)), "path": clean(F.array_join(folded, "/")), "base_host": host(base), "base_path": clean(path(base))}
+    # Only a path with dot segments needs folding.
+    plain = F.when(joined.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(folded, "/")).otherwise(joined)
+    clean = lambda c: F.regexp_replace(F.regexp_replace(c, r"\A\z", "/"), r"(?i)/index\.(html?|php)$", "/")
+    return {"http": href.rlike("(?i)^https?:") | ~protocol, "protocol": protocol, "relative": ~protocol & ~double, "host": F.when(protocol | double, host(href)).otherwise(host(base)), "path": clean(plain), "base_host": host(base), "base_path": clean(path(base))}
+
+
+def _links(nodes: DataFrame) -> DataFrame:
+    return nodes.where(tag() == "a").withColumn("href", F.trim(F.coalesce(attr("href"), F.lit(""))))
 
 
 def classify_links(nodes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """``a`` elements with the flags of their targets. ``pages`` (page_id, url) gives the
     pages' own addresses; without it every relative link is internal."""
-    a = nodes.where(tag() == "a")
+    a = _links(nodes)
     a = a.join(pages.select("page_id", F.col("url").alias("base")), "page_id", "left") if pages is not None else a.withColumn("base", F.lit(None).cast("string"))
-    a = a.withColumn("href", F.trim(F.coalesce(attr("href"), F.lit("")))).withColumn("base", F.coalesce(F.nullif("base", F.lit("")), F.lit(NO_BASE)))
+    a = a.withColumn("base", F.coalesce(F.nullif("base", F.lit("")), F.lit(NO_BASE)))
     r = _resolved(F.col("href"), F.col("base"))
     a = a.select("*", *[c.alias(f"_{k}") for k, c in r.items()])
-    counts = ~F.col("href").rlike(r"(?i)^$|^#[^#\s]+|^mailto:|^javascript:") & F.col("_http")
-    same = counts & (F.col("_host") == F.col("_base_host"))
-    pdf = F.col("href").rlike(r"(?i)\.pdf(?:$|[?#])")
+    # Step by step, so that none is worked out once for each flag that reads it.
+    a = a.withColumn("_counts", ~F.col("href").rlike(r"(?i)^$|^#[^#\s]+|^mailto:|^javascript:") & F.col("_http")).withColumn("_pdf", F.col("href").rlike(r"(?i)\.pdf(?:$|[?#])"))
+    a = a.withColumn("_same", F.col("_counts") & (F.col("_host") == F.col("_base_host")))
+    counts, same, pdf = F.col("_counts"), F.col("_same"), F.col("_pdf")
     top = same & (F.col("_path") == "/")
     flags = {
         "is_pdf": pdf, "is_external": counts & (F.col("_host") != F.col("_base_host")), "is_internal_absolute": same & F.col("_protocol"), "is_internal_relative": same & F.col("_relative") & ~pdf,
         "is_in_page": F.col("href").rlike(r"^#[^#\s]+"), "is_cross_page": counts & F.col("href").rlike("#.") & ~(same & (F.col("_path") == F.col("_base_path"))), "is_top": top, "is_category": same & ~top & F.col("_path").endswith("/") & ~pdf,
         "is_broken": F.col("href").isin("", "#"),
     }
-    return a.select("*", *[c.alias(k) for k, c in flags.items()]).drop(*[f"_{k}" for k in r])
+    return a.select("*", *[c.alias(k) for k, c in flags.items()]).drop("_counts", "_same", "_pdf", *[f"_{k}" for k in r])
 
 
 def link_candidates(nodes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -232,7 +247,7 @@ def link_candidates(nodes: DataFrame, pages: DataFrame | None = None) -> DataFra
         Detector("link", "link.external-link", ~c("is_pdf") & c("is_external"), "外部ドメインへのリンクです。", confidence="medium"),
         Detector("link", "link.internal-link", ~c("is_external") & (c("is_internal_absolute") | c("is_internal_relative")) & plain, F.when(c("is_internal_absolute"), "同一ドメインの絶対URLリンクです。").otherwise("CMS管理内ページへの相対リンクです。"), confidence="medium"),
     ])
-    named = a.withColumn("name", rules.collapse(F.concat_ws(" ", "text", attr("aria-label"))))
+    named = _links(nodes).withColumn("name", rules.collapse(F.concat_ws(" ", "text", attr("aria-label"))))
     w = Window.partitionBy("page_id").orderBy("pre")
     near = lambda f: (f("href").over(w) == c("href")) & (f("name").over(w) != "")
     named = named.where(attr("href").isNotNull()).withColumn("beside", F.coalesce(near(F.lag), F.lit(False)) | F.coalesce(near(F.lead), F.lit(False)))
@@ -341,7 +356,7 @@ def text_candidates(nodes: DataFrame) -> DataFrame:
     runs = []
     for i, (rule, said, found, fix, confidence, human) in enumerate(_text_rules()):
         runs.append(F.transform(F.array_distinct(found), Repair(i, rule, said, fix, confidence, human).struct))
-    repairs = t.select(*KEY, F.explode(F.concat(*runs)).alias("c")).select(*KEY, "c.*").where("patch_value <> before")
+    repairs = _each(t.select(*KEY, F.concat(*runs).alias("c"))).where("patch_value <> before")
     body = F.col("text")
     arrow, ornament, free = body.rlike(ARROWS), body.rlike(ORNAMENTS), F.col("cell_pre").isNull()
     script = rules.language_script(body)

@@ -112,9 +112,9 @@ def topk_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_diff(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("type", "rank", "jis", "method", "before_count", "after_count")
 
 
-def _nodes(pages: DataFrame) -> DataFrame:
+def _nodes(pages: DataFrame, texts_of: frozenset[str] | None = None) -> DataFrame:
     """Parsed once for all branches that read them; lost blocks are parsed again."""
-    return parse_html(pages).persist(StorageLevel.MEMORY_AND_DISK)
+    return parse_html(pages, texts_of).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _page_nodes(pages: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def queue_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark, sf_dir):
-    nodes = _nodes(_pages(spark, sf_dir))
+    nodes = _nodes(_pages(spark, sf_dir), candidates.TEXTS_OF)
     return nodes, candidates.find_candidates(nodes, read(spark, sf_dir, "pages"))
 
 
