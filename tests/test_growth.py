@@ -1,12 +1,15 @@
 """Work and memory that must not grow faster than the input."""
 
+import inspect
 import re
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pageloom.functions import text
 from pageloom.operators import candidates, decisions
-from pageloom.sources import html_nodes, parse_html
+from pageloom.sources import html_nodes, page_tree, parse_html, parse_pages
 
 PAGE = "<h1>a</h1><p>日 時 ：１ <a href='/x/../y/'>こちら</a></p><ul><li>b</ul><img><p id='i' style=''>９</p><a href='#i'>c</a>"
 
@@ -60,3 +63,19 @@ def test_dot_segments(spark):
     df = spark.createDataFrame([(i, h) for i, h in enumerate(links)], "i int, href string")
     got = df.select("i", candidates._resolved(F.col("href"), F.lit("https://example.invalid/d/e.html"))["path"])
     assert [r[1] for r in sorted(got.collect())] == want
+
+
+def test_memory_of_checks_does_not_grow_with_pages():
+    """The parser holds a few pages' nodes, however many pages a batch has."""
+    nodes = inspect.signature(parse_pages).parameters["batch_nodes"].default
+
+    def peak(n):
+        batch = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "html": ["<p>あ<b>x</b></p>" * 60] * n})
+        tracemalloc.start()
+        most = max(b.num_rows for b in page_tree.node_batches([batch], nodes))
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < nodes + 300
+        return held
+
+    assert peak(100) > 0.8 * peak(400)
